@@ -1,0 +1 @@
+"""No streaming operator is defined: every job of this engine reads a complete table and ends."""
