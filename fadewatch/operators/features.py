@@ -241,19 +241,20 @@ def horizon_curves(signals: DataFrame, horizons: Sequence[int], every: int = 1,
     ts = sorted(set(int(t) for t in horizons))
     wanted = {"c_early": {t: critical_cycles(t)[1] for t in ts}, "c_late": {t: t - 1 for t in ts}, "c_ref": {t: REF for t in ts}}
     idx = F.col("cycle_idx")
-    kept = signals.filter((idx < max(ts)) & (idx % every == 0)).select("cell_id", "cycle_idx", cv.to_double(curve).alias("c"))
     slots = sorted({min(k, t - 1) for m in wanted.values() for t, k in m.items()})
+    kept = F.when(idx % every == 0, idx)
     boxed = F.struct("c")
-    per_cell = kept.groupBy("cell_id").agg(
-        *[F.coalesce(F.max_by(boxed, F.when(idx <= k, idx)), F.min_by(boxed, idx))["c"].alias(f"c{k}") for k in slots]
+    per_cell = (
+        signals.filter(idx < max(ts)).select("cell_id", "cycle_idx", cv.to_double(curve).alias("c"))
+        .groupBy("cell_id").agg(
+            F.count("*").alias("__n"),
+            *[F.coalesce(F.max_by(boxed, F.when(idx <= k, kept)), F.min_by(boxed, kept))["c"].alias(f"c{k}") for k in slots],
+        )
     )
-    counts = signals.filter(idx < max(ts)).groupBy("cell_id").agg(F.count("*").alias("__n"))
     rows = F.array(
         *[F.struct(F.lit(t).alias("T"), *[F.col(f"c{min(m[t], t - 1)}").alias(n) for n, m in wanted.items()]) for t in ts]
     )
-    return (
-        per_cell.join(counts, "cell_id").select("cell_id", "__n", F.inline(rows)).filter("T <= __n").drop("__n")
-    )
+    return per_cell.select("cell_id", "__n", F.inline(rows)).filter("T <= __n").drop("__n")
 
 
 def curve_features(picked: DataFrame, half: int = 10, peak_width: int = 25, peak_margin: int = 50) -> DataFrame:
