@@ -197,6 +197,17 @@ def model_table(spark: SparkSession, prepared: dict[str, Prepared], models: Sequ
     )
 
 
+def statistics_table(spark: SparkSession, prepared: dict[str, Prepared], features: Sequence[str]) -> DataFrame:
+    """Fitted preprocessing as a table: one row per split and feature."""
+    rows = [
+        (s, f, *(float(x[j]) for x in (p.low, p.high, p.median, p.mean, p.std)), float(p.y_mean), float(p.y_std))
+        for s, p in prepared.items() for j, f in enumerate(features)
+    ]
+    return spark.createDataFrame(
+        rows, f"{SPLIT} string, feature string, low double, high double, median double, mean double, std double, y_mean double, y_std double"
+    )
+
+
 def contributions(features: Sequence[str]) -> Column:
     """Array of struct(feature, value, phi): exact linear attribution of each feature around the training mean."""
     x = F.array(*[finite(f) for f in features])

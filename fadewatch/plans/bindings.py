@@ -166,10 +166,10 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 # two seeds and three formula models per order
 PREDS_SQL = """preds AS (
-  SELECT o_orderkey AS cell_id, seed, model, o_totalprice / 100.0 + 101.0 AS y_true,
-    (CASE model WHEN 'a' THEN (o_totalprice / 100.0 + 101.0) * (0.9 + (o_orderkey % 7) / 40.0)
-      WHEN 'b' THEN 700.0 + 0.45 * (o_totalprice / 100.0) + 10.0 * (o_custkey % 11)
-      ELSE 0.8 * (o_totalprice / 100.0) + 300.0 - 25.0 * (o_orderkey % 5) END) * (1.0 + seed / 50.0) AS y_pred,
+  SELECT o_orderkey AS cell_id, seed, model, o_totalprice / 103.7 + 101.0 AS y_true,
+    (CASE model WHEN 'a' THEN (o_totalprice / 103.7 + 101.0) * (0.9137 + (o_orderkey % 7) / 41.3)
+      WHEN 'b' THEN 700.0 + 0.4537 * (o_totalprice / 103.7) + 10.37 * (o_custkey % 11)
+      ELSE 0.8171 * (o_totalprice / 103.7) + 300.0 - 25.13 * (o_orderkey % 5) END) * (1.0 + seed / 53.7) AS y_pred,
     o_orderpriority AS protocol
   FROM orders, (VALUES (0), (1)) s(seed), (VALUES ('a'), ('b'), ('c')) m(model))"""
 MODELS = ["a", "b", "c"]
@@ -178,14 +178,14 @@ MODELS = ["a", "b", "c"]
 def preds(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     rows = o.withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    x, k = F.col("o_totalprice") / 100.0, F.col("o_orderkey")
+    x, k = F.col("o_totalprice") / 103.7, F.col("o_orderkey")
     p = (
-        F.when(F.col("model") == "a", (x + 101.0) * (0.9 + (k % 7) / 40.0))
-        .when(F.col("model") == "b", 700.0 + 0.45 * x + 10.0 * (F.col("o_custkey") % 11))
-        .otherwise(0.8 * x + 300.0 - 25.0 * (k % 5))
+        F.when(F.col("model") == "a", (x + 101.0) * (0.9137 + (k % 7) / 41.3))
+        .when(F.col("model") == "b", 700.0 + 0.4537 * x + 10.37 * (F.col("o_custkey") % 11))
+        .otherwise(0.8171 * x + 300.0 - 25.13 * (k % 5))
     )
     return rows.select(
-        k.alias("cell_id"), "seed", "model", (x + 101.0).alias("y_true"), (p * (1.0 + F.col("seed") / 50.0)).alias("y_pred"),
+        k.alias("cell_id"), "seed", "model", (x + 101.0).alias("y_true"), (p * (1.0 + F.col("seed") / 53.7)).alias("y_pred"),
         F.col("o_orderpriority").alias("protocol"),
     )
 
@@ -270,16 +270,17 @@ def features_matrix(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey")
     day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1992-01-01 00:00:00', o_orderdate)")
     return o.join(c, "o_custkey").select(
-        F.col("o_orderkey").alias("cell_id"), (F.col("o_totalprice") / 100.0 + 101.0).alias("y"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("x1"), (day / 100.0).alias("x2"),
+        F.col("o_orderkey").alias("cell_id"), (F.col("o_totalprice") / 103.7 + 101.0).alias("y"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("x1"), (day / 103.7).alias("x2"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("x3"), F.col("c_nationkey").cast("double").alias("x4"),
+        (F.sqrt("o_totalprice") / 10.7 + F.col("o_orderkey") % 13).alias("x5"),
         (F.col("o_orderkey") % 5).cast("int").alias("fold"), (F.col("o_totalprice") < 150000.0).alias("flag"),
     )
 
 
 MATRIX_SQL = """fm AS (
-  SELECT o_orderkey AS cell_id, o_totalprice / 100.0 + 101.0 AS y, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS x1,
-    floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1992-01-01')) / 86400000000.0) / 100.0 AS x2,
-    CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS x3, CAST(c_nationkey AS DOUBLE) AS x4, CAST(o_orderkey % 5 AS INTEGER) AS fold,
+  SELECT o_orderkey AS cell_id, o_totalprice / 103.7 + 101.0 AS y, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS x1,
+    floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1992-01-01')) / 86400000000.0) / 103.7 AS x2,
+    CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS x3, CAST(c_nationkey AS DOUBLE) AS x4, sqrt(o_totalprice) / 10.7 + o_orderkey % 13 AS x5, CAST(o_orderkey % 5 AS INTEGER) AS fold,
     o_totalprice < 150000.0 AS flag
   FROM orders JOIN customer ON c_custkey = o_custkey)"""

@@ -121,12 +121,12 @@ def scalar_functions(spark, sf):
 
 @query("X3", """SELECT c_custkey, printf('%g', round(c_acctbal, 0) / 4) AS g, printf('%+.0f%%', c_acctbal / 117.3) AS pct,
     CASE WHEN c_nationkey > 0 THEN printf('%.1f', c_acctbal / 1.37) || ' ± ' || printf('%.1f', c_nationkey / 7.3) ELSE printf('%.1f', c_acctbal / 1.37) END AS pm,
-    printf('%.1f [%.1f, %.1f]', c_acctbal / 1.37, c_acctbal / 2.11, c_acctbal * 1.13) AS ci FROM customer""")
+    printf('%.1f [%.1f, %.1f]', c_acctbal / 1.37, c_acctbal / 2.11, c_acctbal * 1.1337) AS ci FROM customer""")
 def text_formats(spark, sf):
     x = F.col("c_acctbal")
     return table(spark, sf, "customer").select(
         "c_custkey", format_g(F.round(x, 0) / 4).alias("g"), format_signed_percent(x / 117.3).alias("pct"),
-        mean_pm_std(x / 1.37, F.col("c_nationkey") / 7.3).alias("pm"), interval_text(x / 1.37, x / 2.11, x * 1.13).alias("ci"),
+        mean_pm_std(x / 1.37, F.col("c_nationkey") / 7.3).alias("pm"), interval_text(x / 1.37, x / 2.11, x * 1.1337).alias("ci"),
     )
 
 
