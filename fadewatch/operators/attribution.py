@@ -112,11 +112,7 @@ def rank_agreement(imp: DataFrame, model: str = "model", score: str = "importanc
 
 
 def stability(imp: DataFrame, by: Sequence[str], source: str = "source", score: str = "importance", k: int = 10) -> DataFrame:
-    """Per feature: share of runs with it in the top k, median rank, rank IQR, and the mean pairwise Kendall tau-b.
-
-    A run is one source (seed or fold); the pair table has runs^2 x features^2
-    rows, none of which depend on the number of entities.
-    """
+    """Per feature: share of runs (seeds or folds) with it in the top k, median rank, rank IQR, and the mean pairwise Kendall tau-b."""
     run = [*by, source]
     r = with_average_rank(imp, run, score, "r", descending=True, bounded=True)
     r = r.withColumn("in_top", (F.row_number().over(Window.partitionBy(*run).orderBy(F.col(score).desc(), "feature")) <= k).cast("double"))
@@ -124,20 +120,31 @@ def stability(imp: DataFrame, by: Sequence[str], source: str = "source", score:
         F.avg("in_top").alias("top_frequency"), F.percentile("r", F.lit(0.5)).alias("median_rank"),
         (F.percentile("r", F.lit(0.75)) - F.percentile("r", F.lit(0.25))).alias("rank_iqr"),
     )
-    tau = kendall_tau_pairs(r, by, source).groupBy(*by).agg(F.avg("tau").alias("mean_pairwise_tau"))
+    tau = mean_kendall_tau(r, by, source)
     return per_feature.join(F.broadcast(tau), list(by)) if by else per_feature.crossJoin(F.broadcast(tau))
 
 
-def kendall_tau_pairs(ranks: DataFrame, by: Sequence[str], source: str = "source", rank: str = "r") -> DataFrame:
-    """Kendall tau-b for every pair of runs, from the sign of each feature pair."""
-    left = ranks.select(*by, source, F.col("feature").alias("f1"), F.col(rank).alias("r1"))
-    right = ranks.select(*by, source, F.col("feature").alias("f2"), F.col(rank).alias("r2"))
-    signs = left.join(right, [*by, source]).filter("f1 < f2").select(*by, source, "f1", "f2", F.signum(F.col("r1") - F.col("r2")).alias("s"))
-    a = signs.select(*by, F.col(source).alias("a"), "f1", "f2", F.col("s").alias("sa"))
-    b = signs.select(*by, F.col(source).alias("b"), "f1", "f2", F.col("s").alias("sb"))
-    return (
-        a.join(b, [*by, "f1", "f2"]).filter("a < b").groupBy(*by, "a", "b")
-        .agg(F.try_divide(F.sum(F.col("sa") * F.col("sb")), F.sqrt(F.sum(F.abs("sa")) * F.sum(F.abs("sb")))).alias("tau"))
+def mean_kendall_tau(ranks: DataFrame, by: Sequence[str], source: str = "source", rank: str = "r") -> DataFrame:
+    """Mean Kendall tau-b over all pairs of runs, without forming the pairs.
+
+    tau-b of two runs is the scalar product of their sign vectors over feature
+    pairs, each scaled to length one; the sum over run pairs follows from the
+    sum and the sum of squares over runs. The sign vector of a run has one
+    entry per feature pair, whatever the number of entities.
+    """
+    per_run = ranks.groupBy(*by, source).agg(F.sort_array(F.collect_list(F.struct("feature", F.col(rank).alias("r")))).alias("f"))
+    signs = F.flatten(
+        F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.signum(x["r"] - y["r"])))
+    )
+    length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.abs(x)))
+    unit = per_run.select(*by, source, signs.alias("s")).withColumn("len", length).filter("len > 0").select(
+        *by, F.posexplode("s").alias("pair", "s"), "len"
+    )
+    z = F.col("s") / F.col("len")
+    per_pair = unit.groupBy(*by, "pair").agg(F.sum(z).alias("t"), F.sum(z * z).alias("q"), F.count("*").alias("n"))
+    n = F.max("n")
+    return per_pair.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("t") * F.col("t") - F.col("q")), n * (n - 1)).alias("mean_pairwise_tau")
     )
 
 

@@ -68,9 +68,8 @@ def simplex_least_squares(pp: np.ndarray, py: np.ndarray) -> np.ndarray:
 
 def stack_moments(oof: DataFrame, members: Sequence[str], by: Sequence[str], key: str, y: str = "y_true",
                   model: str = "model", p: str = "y_pred") -> DataFrame:
-    """Sums of products of (1, y, predictions) per group, one row each; about y's rough scale for accuracy."""
-    wide = oof.groupBy(*by, key).pivot(model, list(members)).agg(F.max(p))
-    wide = wide.join(oof.select(*by, key, F.col(y).alias("__y")).distinct(), [*by, key])
+    """Sums of products of (1, y, predictions) per group, one row each."""
+    wide = oof.groupBy(*by, key, F.col(y).alias("__y")).pivot(model, list(members)).agg(F.max(p))
     cols = ["__y", *members]
     names = ["n"] + [f"s_{i}" for i in range(len(cols))] + [f"q_{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))]
     d = {c: F.col(c) for c in cols}

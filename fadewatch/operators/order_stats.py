@@ -237,31 +237,32 @@ def average_precision(df: DataFrame, by: Sequence[str], score: str, flag: str) -
     return p.groupBy(*by).agg(F.try_divide(steps, F.max("pos_total")).alias("average_precision"))
 
 
-def recall_cutoff(df: DataFrame, by: Sequence[str], score: str, flag: str, targets: DataFrame) -> DataFrame:
-    """Smallest score c whose share of positives with score <= c reaches the target, else the largest score.
+def levels(values: Sequence[float]) -> Column:
+    """One row per requested level (recall target, alpha, ...)."""
+    return F.explode(F.array(*[F.lit(float(v)) for v in values]))
 
-    ``targets`` is a small table with the column ``recall_target``.
-    """
+
+def recall_cutoff(df: DataFrame, by: Sequence[str], score: str, flag: str, targets: Sequence[float]) -> DataFrame:
+    """Smallest score c whose share of positives with score <= c reaches the target, else the largest score."""
     p = value_profile(df, by, score, {"pos": F.col(flag).cast("int")})
     share = F.try_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total"))
     return (
-        p.crossJoin(F.broadcast(targets.select("recall_target").distinct()))
+        p.withColumn("recall_target", levels(targets))
         .groupBy(*by, "recall_target")
         .agg(F.coalesce(F.min(F.when(share >= F.col("recall_target"), F.col(score))), F.max(score)).alias("cutoff"))
     )
 
 
-def conformal_quantile(df: DataFrame, by: Sequence[str], score: str, alphas: DataFrame) -> DataFrame:
+def conformal_quantile(df: DataFrame, by: Sequence[str], score: str, alphas: Sequence[float]) -> DataFrame:
     """The ceil((n+1)(1-alpha))-th smallest score, +infinity when n is too small.
 
-    ``alphas`` is a small table with the column ``alpha``. A group without any
-    score has no row; the caller reads that as +infinity.
+    A group without any score has no row; the caller reads that as +infinity.
     """
     p = value_profile(df, by, score)
     k = F.ceil((F.col("n_total") + 1) * (F.lit(1.0) - F.col("alpha")))
     hit = at_position(F.col(score), F.col("n_before"), F.col("n"), k - 1)
     return (
-        p.crossJoin(F.broadcast(alphas.select("alpha").distinct()))
+        p.withColumn("alpha", levels(alphas))
         .groupBy(*by, "alpha")
         .agg(F.coalesce(hit, F.lit(float("inf"))).alias("q"))
     )

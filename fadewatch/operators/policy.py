@@ -7,14 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from .order_stats import conformal_quantile, recall_cutoff
+from .order_stats import conformal_quantile, levels, recall_cutoff
 from .splits import bootstrap_interval, bootstrap_weights
 
 
-def level_table(spark: SparkSession, name: str, values: Sequence[float]) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-
-
 def policy_table(spark: SparkSession, policies: Mapping[str, Sequence[int]]) -> DataFrame:
     """One row per policy and checkpoint, from a map of policy names to checkpoint lists."""
     rows = [(k, sorted(int(t) for t in v)) for k, v in policies.items()]
@@ -32,12 +28,12 @@ def apply_cutoff(scores: DataFrame, cutoffs: DataFrame, by: Sequence[str], score
     return rows.withColumn("alarm", F.col(score) <= F.col("cutoff"))
 
 
-def alarms_by_recall(oof: DataFrame, test: DataFrame, by: Sequence[str], score: str, flag: str, targets: DataFrame) -> DataFrame:
+def alarms_by_recall(oof: DataFrame, test: DataFrame, by: Sequence[str], score: str, flag: str, targets: Sequence[float]) -> DataFrame:
     """Cutoffs set on out-of-fold scores, applied to the test scores, per recall target."""
     return apply_cutoff(test, recall_cutoff(oof, by, score, flag, targets), by, score)
 
 
-def life_intervals(oof: DataFrame, test: DataFrame, by: Sequence[str], y: str, p: str, alphas: DataFrame) -> DataFrame:
+def life_intervals(oof: DataFrame, test: DataFrame, by: Sequence[str], y: str, p: str, alphas: Sequence[float]) -> DataFrame:
     """Interval exp(ln p -+ q) with q the conformal quantile of |ln y - ln p| out of fold."""
     s = oof.withColumn("__s", F.abs(F.log(F.col(p)) - F.log(F.col(y))))
     q = conformal_quantile(s, by, "__s", alphas)
@@ -45,14 +41,14 @@ def life_intervals(oof: DataFrame, test: DataFrame, by: Sequence[str], y: str, p
     return rows.withColumns({"lo": F.col(p) * F.exp(-F.col("q")), "hi": F.col(p) * F.exp(F.col("q"))})
 
 
-def fail_pass_sets(oof: DataFrame, test: DataFrame, by: Sequence[str], p: str, flag: str, alphas: DataFrame) -> DataFrame:
+def fail_pass_sets(oof: DataFrame, test: DataFrame, by: Sequence[str], p: str, flag: str, alphas: Sequence[float]) -> DataFrame:
     """Class-conditional conformal sets per alpha: is 'fail' / 'pass' in the set of each test case."""
     f = F.col(flag).cast("boolean")
     inf = F.lit(float("inf"))
     tables = []
     for name, rows, score in (("q_fail", oof.filter(f), 1 - F.col(p)), ("q_pass", oof.filter(~f), F.col(p))):
         tables.append(conformal_quantile(rows.withColumn("__s", score), by, "__s", alphas).withColumnRenamed("q", name))
-    rows = test.crossJoin(F.broadcast(alphas.select("alpha").distinct()))
+    rows = test.withColumn("alpha", levels(alphas))
     for q in tables:
         rows = rows.join(q, [*by, "alpha"], "left")
     return rows.withColumns(

@@ -207,7 +207,10 @@ def discharge_curve(points: DataFrame, limits: DataFrame, keys: Sequence[str] =
         .join(limits.select("cell_id", "min_voltage_v", "max_voltage_v"), "cell_id")
     )
     step = (F.col("max_voltage_v") - F.col("min_voltage_v")) / (curve_points - 1)
-    dis = dis.withColumn("__bin", F.floor((F.col("v") - F.col("min_voltage_v")) / step))
+    dis = dis.withColumn(
+        # all points beyond the grid share one interval on each side
+        "__bin", F.greatest(F.lit(-1), F.least(F.lit(curve_points), F.floor((F.col("v") - F.col("min_voltage_v")) / step)))
+    )
     # the grid only sees the points next to it: keep the extreme points of every grid interval and bridge them
     ends = dis.groupBy(*keys, "min_voltage_v", "max_voltage_v", "__bin").agg(
         F.min_by(F.struct("v", "q"), F.struct("v", "pt_idx")).alias("lo"),

@@ -372,7 +372,7 @@ RECALLS = [0.95, 0.9, 0.8, 0.7]
 
 @query("Q1", f"WITH {ALARMS_SQL}, {_CUT.format(by='lang, ', part='PARTITION BY lang', src='alarms')} SELECT * FROM cuts", "recall_target cutoff")
 def recall_cutoffs(spark, sf):
-    return os_.recall_cutoff(alarms(spark, sf), ["lang"], "score", "early_failure", pl.level_table(spark, "recall_target", RECALLS))
+    return os_.recall_cutoff(alarms(spark, sf), ["lang"], "score", "early_failure", RECALLS)
 
 
 _ALARMED = f"""WITH {ALARMS_SQL}, {_CUT.format(by='', part='', src="(SELECT * FROM alarms WHERE fold <> 0)")},
@@ -387,7 +387,7 @@ _CONF = """count(*) FILTER (WHERE {f} AND {t}) AS TP, count(*) FILTER (WHERE {f}
        "recall_target recall precision false_alarm_rate F1 balanced_acc")
 def alarm_operating_points(spark, sf):
     a = alarms(spark, sf)
-    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", pl.level_table(spark, "recall_target", RECALLS))
+    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", RECALLS)
     return mt.confusion_metrics(al, ["recall_target"], "alarm", "early_failure")
 
 
@@ -411,7 +411,7 @@ def probability_scores(spark, sf):
   ELSE 'correctly not flagged' END AS outcome FROM al""", "recall_target")
 def alarm_outcomes(spark, sf):
     a = alarms(spark, sf)
-    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", pl.level_table(spark, "recall_target", RECALLS))
+    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", RECALLS)
     return al.select("cell_id", "recall_target", pl.outcome("alarm", "early_failure").alias("outcome"))
 
 
@@ -424,7 +424,7 @@ def forced_alarms(spark, sf):
 
 def _operating(spark, sf):
     a = alarms(spark, sf)
-    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", pl.level_table(spark, "recall_target", RECALLS))
+    al = pl.alarms_by_recall(a.filter("fold <> 0"), a.filter("fold = 0"), [], "score", "early_failure", RECALLS)
     return mt.confusion_metrics(al, ["recall_target"], "alarm", "early_failure")
 
 
@@ -438,7 +438,7 @@ _CQ = """SELECT {by}a AS alpha, min(CASE WHEN rn = ceil((n + 1) * (1.0::DOUBLE -
 @query("Q3", f"""WITH {ALARMS_SQL}, z AS (SELECT lang, 1 - p_fail AS s FROM alarms WHERE early_failure) {_CQ.format(by='lang, ', part='PARTITION BY lang', src='z')}""", "alpha q")
 def conformal_quantiles(spark, sf):
     z = alarms(spark, sf).filter("early_failure").withColumn("s", 1 - F.col("p_fail"))
-    q = os_.conformal_quantile(z, ["lang"], "s", pl.level_table(spark, "alpha", ALPHAS))
+    q = os_.conformal_quantile(z, ["lang"], "s", ALPHAS)
     return q.withColumn("q", F.when(F.col("q") != float("inf"), F.col("q")))
 
 
@@ -447,7 +447,7 @@ def conformal_quantiles(spark, sf):
   SELECT p.cell_id, p.model, alpha, y_pred * exp(-q) AS lo, y_pred * exp(q) AS hi FROM preds p JOIN q USING (model) WHERE seed = 0 AND cell_id % 5 = 0""", "alpha lo hi")
 def life_intervals(spark, sf):
     p = preds(spark, sf).filter("seed = 0")
-    out = pl.life_intervals(p.filter("cell_id % 5 <> 0"), p.filter("cell_id % 5 = 0"), ["model"], "y_true", "y_pred", pl.level_table(spark, "alpha", ALPHAS))
+    out = pl.life_intervals(p.filter("cell_id % 5 <> 0"), p.filter("cell_id % 5 = 0"), ["model"], "y_true", "y_pred", ALPHAS)
     return out.select("cell_id", "model", "alpha", "lo", "hi")
 
 
@@ -457,7 +457,7 @@ def life_intervals(spark, sf):
   FROM preds p JOIN q USING (model) WHERE seed = 0 AND cell_id % 5 = 0 GROUP BY ALL""", "alpha coverage rel_width")
 def interval_quality(spark, sf):
     p = preds(spark, sf).filter("seed = 0")
-    out = pl.life_intervals(p.filter("cell_id % 5 <> 0"), p.filter("cell_id % 5 = 0"), ["model"], "y_true", "y_pred", pl.level_table(spark, "alpha", ALPHAS))
+    out = pl.life_intervals(p.filter("cell_id % 5 <> 0"), p.filter("cell_id % 5 = 0"), ["model"], "y_true", "y_pred", ALPHAS)
     return mt.interval_metrics(out, ["model", "alpha"], "y_true", "lo", "hi", "y_pred")
 
 
@@ -469,7 +469,7 @@ _FP_SQL = f"""WITH {ALARMS_SQL}, zf AS (SELECT 1 - p_fail AS s FROM alarms WHERE
 
 def _fp(spark, sf):
     a = alarms(spark, sf)
-    return pl.fail_pass_sets(a.filter("fold <> 0"), a.filter("fold = 0"), [], "p_fail", "early_failure", pl.level_table(spark, "alpha", ALPHAS))
+    return pl.fail_pass_sets(a.filter("fold <> 0"), a.filter("fold = 0"), [], "p_fail", "early_failure", ALPHAS)
 
 
 @query("Q5", f"{_FP_SQL} SELECT cell_id, alpha, fail_in_set, pass_in_set FROM fp", "alpha")

@@ -1,7 +1,6 @@
 """Queries that fit models, combine them and explain them."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution as at
@@ -18,7 +17,9 @@ from .bindings import (
     CELLS_SQL, FEATURE_GROUPS, FEATURES, GROUPS_SQL, MATRIX_SQL, MODELS, PHI_SQL, PREDS_SQL, SERIES_SQL, cells, curved_series,
     features_matrix, phi_rows, preds, query, series, table,
 )
+from ..operators.features import FEATURE_SETS, build_features
 from .catalog_eval import _HASH, _METRICS
+from .catalog_series import _set_sql
 
 X = ["x1", "x2", "x3", "x4", "x5"]
 PAIR = ["x5", "x3"]
@@ -477,10 +478,16 @@ def sampled_attribution(spark, sf):
     return at.sampled_attribution(m, m, names, "cell_id", predict_log, permutations=1, background_rows=2)
 
 
-@query("D12 J13", "SELECT 100::BIGINT + 12 AS n_rows, 7::BIGINT AS n_groups, (SELECT count(*) FROM region) AS n_region")
-def feature_dictionary(spark, sf):
-    d = gr.feature_dictionary(spark).agg(F.count("*").alias("n_rows"), F.countDistinct("grp").alias("n_groups"))
-    return d.crossJoin(F.broadcast(table(spark, sf, "region").agg(F.count("*").alias("n_region"))))
+_MAP = ", ".join(f"('{f}', '{gr.feature_group(f)}')" for f in FEATURE_SETS["A"])
+
+
+@query("S14 D12 D13 J13 X8", f"""WITH fa AS ({_set_sql('A', [20])}), lg AS (UNPIVOT fa ON {', '.join(FEATURE_SETS['A'])} INTO NAME feature VALUE value),
+  gm(feature, grp) AS (VALUES {_MAP}) SELECT grp, count(*) AS n, avg(value) AS mean_value, max(value) AS max_value FROM lg JOIN gm USING (feature) GROUP BY ALL""", "mean_value max_value", 5)
+def feature_group_profile(spark, sf):
+    a = build_features(curved_series(spark, sf), "A", [20], peak_width=5, peak_margin=3)
+    long = a.unpivot(["cell_id", "T"], FEATURE_SETS["A"], "feature", "value")
+    g = gr.with_group(long, gr.feature_dictionary(spark).filter("introduced_in_set = 'A'").select("feature", "grp"))
+    return g.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"))
 
 
 # ------------------------------------------------------------- reports

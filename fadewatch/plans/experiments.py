@@ -220,8 +220,8 @@ def linear_outer_folds(
     oof_best = oof.join(F.broadcast(chosen), pick).withColumn("early_failure", F.col(target) <= st.failure_threshold)
     test_best = tst.join(F.broadcast(chosen), pick).withColumn("early_failure", F.col(target) <= st.failure_threshold)
     group = [*tag, "reg_role"]
-    alpha = pl.level_table(spark, "alpha", [st.interval_alpha])
-    recalls = pl.level_table(spark, "recall_target", st.alarm_recalls)
+    alpha = [st.interval_alpha]
+    recalls = st.alarm_recalls
     intervals = pl.life_intervals(oof_best, test_best, group, target, "y_pred", alpha)
     flags = pl.alarms_by_recall(oof_best, test_best, group, "y_pred", "early_failure", recalls)
     dummy = train.groupBy(*tag).agg(F.exp(F.avg(F.log(target))).alias("dummy_pred_life"))
@@ -245,9 +245,9 @@ def classifier_outer_fold(
                 best = (loss, f"logit_C{c:g}_{fs}", features, prep, c, oof)
     loss, name, features, prep, c, oof = best
     p = ln.predict_probability(train, test, features, "early_failure", prep["final"], c, [key, target, "early_failure"])
-    sets = pl.fail_pass_sets(oof, p, [], "p_fail", "early_failure", pl.level_table(spark, "alpha", st.alphas))
+    sets = pl.fail_pass_sets(oof, p, [], "p_fail", "early_failure", st.alphas)
     neg = oof.withColumn("score", -F.col("p_fail"))
-    flags = pl.alarms_by_recall(neg, p.withColumn("score", -F.col("p_fail")), [], "score", "early_failure", pl.level_table(spark, "recall_target", st.alarm_recalls))
+    flags = pl.alarms_by_recall(neg, p.withColumn("score", -F.col("p_fail")), [], "score", "early_failure", st.alarm_recalls)
     choice = spark.createDataFrame([(name, float(loss))], "clf_choice string, clf_inner_logloss double")
     return {"probabilities": p, "sets": sets, "alarms": flags, "choice": choice}
 
