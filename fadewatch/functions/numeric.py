@@ -76,27 +76,32 @@ def format_g(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
 
 
+def _known(x: Column, text: Column) -> Column:
+    """A missing number has no text (``format_string`` would print it)."""
+    return F.when(x.isNotNull(), text)
+
+
 def format_signed_percent(x: Column | str) -> Column:
-    return F.format_string("%+.0f%%", col(x))
+    return _known(col(x), F.format_string("%+.0f%%", col(x)))
 
 
 def format_signed(x: Column | str, digits: int = 1) -> Column:
-    return F.format_string(f"%+.{digits}f", col(x))
+    return _known(col(x), F.format_string(f"%+.{digits}f", col(x)))
 
 
 def format_fixed(x: Column | str, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", col(x))
+    return _known(col(x), F.format_string(f"%.{digits}f", col(x)))
 
 
 def mean_pm_std(mean: Column | str, std: Column | str, digits: int = 1) -> Column:
     """'mean ± sd', or only the mean when the spread is missing or zero."""
     m, s = col(mean), finite(std)
     both = F.format_string(f"%.{digits}f ± %.{digits}f", m, F.coalesce(s, F.lit(0.0)))
-    return F.when(s > 0, both).otherwise(format_fixed(m, digits))
+    return _known(m, F.when(s > 0, both).otherwise(format_fixed(m, digits)))
 
 
 def interval_text(mean, lo, hi, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", col(mean), col(lo), col(hi))
+    return _known(col(mean), F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", col(mean), col(lo), col(hi)))
 
 
 def sign_class(rho: Column | str, cut: float = 0.3) -> Column:

@@ -39,11 +39,6 @@ SET_C_EXTRA = [
 ]
 SET_D_EXTRA = ["dq2_var_log", "dq2_min_log", "dq2_mean", "dq2_rms"] + [f"dq2_curve_{j:02d}" for j in range(CURVE_SAMPLES)]
 FEATURE_SETS = {"A": SET_A, "B": SET_B_NAMES, "C": SET_B_NAMES + SET_C_EXTRA, "D": SET_B_NAMES + SET_C_EXTRA + SET_D_EXTRA}
-CURVE_FEATURES = {
-    "A": {"dq_min_log", "dq_var_log", "dq_skew_log", "dq_kurt_log"},
-    "B": {"v_q10_last", "v_q50_last", "v_q90_last"},
-}
-
 LEGACY_NAMES = [
     "DeltaQ_Variance", "DeltaQ_Minimum", "Early_Discharge_Capacity", "Max_Min_Capacity_Diff", "Capacity_Fade_Slope",
     "Capacity_Fade_Intercept", "Avg_Charge_Time", "Temperature_Integral", "Min_Internal_Resistance", "IR_Change",
@@ -257,48 +252,54 @@ def horizon_curves(signals: DataFrame, horizons: Sequence[int], every: int = 1,
     return per_cell.select("cell_id", "__n", F.inline(rows)).filter("T <= __n").drop("__n")
 
 
-def curve_features(picked: DataFrame, half: int = 10, peak_width: int = 25, peak_margin: int = 50) -> DataFrame:
-    """All curve-shape features of sets A-D from the picked curves."""
-    s = cv.smoothed(
-        picked.withColumn("__diff", cv.difference("c_late", "c_early")), half,
-        dq="__diff", s_early="c_early", s_late="c_late", s_ref="c_ref",
-    )
-    s = cv.smoothed(s.withColumn("__d2", cv.difference("s_late", "s_ref")), half, d2="__d2")
-    s = s.withColumns({"__dq": cv.drop_missing("dq"), "__d2": cv.zero_missing("d2")})
-    has_dq = F.size("__dq") > 1
-    two_zeros = F.array(F.lit(0.0), F.lit(0.0))
-    s = s.withColumns(
-        {
-            "ma": cv.moments(F.when(has_dq, F.col("__dq")).otherwise(two_zeros)),
-            "m2": F.when(F.size("__d2") > 0, cv.moments("__d2")),
-            "pe": cv.slope_peak("s_early", peak_width, peak_margin),
-            "pl": cv.slope_peak("s_late", peak_width, peak_margin),
-            "q10": cv.voltage_at_fraction("s_late", 0.1),
-            "q50": cv.voltage_at_fraction("s_late", 0.5),
-            "q90": cv.voltage_at_fraction("s_late", 0.9),
-            "e50": cv.voltage_at_fraction("s_early", 0.5),
-            "pts": F.when(F.size("__d2") > 1, cv.sample_evenly("__d2", CURVE_SAMPLES)),
-        }
-    )
+def curve_features(picked: DataFrame, names: Sequence[str], zero_fill: bool = False, half: int = 10,
+                   peak_width: int = 25, peak_margin: int = 50) -> DataFrame:
+    """The asked curve-shape features from the picked curves; only what they need is computed.
+
+    ``zero_fill`` (set A) treats an empty difference curve as two zeros, else
+    its features are missing.
+    """
+    need = lambda *parts: any(n.startswith(parts) for n in names)
+    drift, peak, delta, fixed = need("dv_"), need("dqdv"), need("dq_"), need("dq2_")
+    first = {"s_late": "c_late"}
+    if drift or peak:
+        first["s_early"] = "c_early"
+    if fixed:
+        first["s_ref"] = "c_ref"
+    if delta:
+        first["dq"] = cv.difference("c_late", "c_early")
+    s = cv.smoothed(picked, half, **first)
+    cols: dict[str, Column] = {}
+    if delta:
+        points = cv.drop_missing("dq")
+        some = F.size(points) > 1
+        two_zeros = F.array(F.lit(0.0), F.lit(0.0))
+        cols["ma"] = cv.moments(F.when(some, points).otherwise(two_zeros)) if zero_fill else F.when(some, cv.moments(points))
+    if fixed:
+        s = cv.smoothed(s.withColumn("d2", cv.difference("s_late", "s_ref")), half, d2="d2").withColumn("d2", cv.zero_missing("d2"))
+        cols["m2"] = cv.moments("d2")
+        cols["pts"] = cv.sample_evenly("d2", CURVE_SAMPLES)
+    if peak:
+        cols.update(pe=cv.slope_peak("s_early", peak_width, peak_margin), pl=cv.slope_peak("s_late", peak_width, peak_margin))
+    fractions = {n: f for n, f in (("v_q10_last", 0.1), ("v_q50_last", 0.5), ("v_q90_last", 0.9)) if n in names or (drift and f == 0.5)}
+    cols.update({n: cv.voltage_at_fraction("s_late", f) for n, f in fractions.items()})
+    if drift:
+        cols["e50"] = cv.voltage_at_fraction("s_early", 0.5)
+    s = s.select("cell_id", "T", *[e.alias(n) for n, e in cols.items()])
     ma, m2 = F.col("ma"), F.col("m2")
     log10 = lambda x: F.log10(x + F.lit(EPS))
-    shape = {
-        "dq_min_log": log10_abs(ma["min"]), "dq_var_log": log10(cv.var_sample(ma)),
+    exprs = {
+        "dq_min_log": lambda: log10_abs(ma["min"]), "dq_var_log": lambda: log10(cv.var_sample(ma)),
+        "dq_skew_log": lambda: log10(cv.skew_ratio(ma)), "dq_kurt_log": lambda: log10(cv.kurt_ratio(ma)),
+        "dq_mean": lambda: ma["mean"], "dq_rms": lambda: cv.rms(ma),
+        **{n: (lambda n=n: F.col(n)) for n in fractions},
+        "dv_q50": lambda: F.col("v_q50_last") - F.col("e50"),
+        "dqdv_peak_shift": lambda: F.col("pl.v") - F.col("pe.v"), "dqdv_peak_ratio": lambda: ratio("pl.height", "pe.height"),
+        "dq2_var_log": lambda: log10(cv.var_sample(m2)), "dq2_min_log": lambda: log10_abs(m2["min"]),
+        "dq2_mean": lambda: m2["mean"], "dq2_rms": lambda: cv.rms(m2),
+        **{f"dq2_curve_{j:02d}": (lambda j=j: F.try_element_at("pts", F.lit(j + 1))) for j in range(CURVE_SAMPLES)},
     }
-    return s.select(
-        "cell_id", "T",
-        *[v.alias(f"a_{k}") for k, v in shape.items()],
-        log10(cv.skew_ratio(ma)).alias("a_dq_skew_log"), log10(cv.kurt_ratio(ma)).alias("a_dq_kurt_log"),
-        *[F.when(has_dq, v).alias(f"c_{k}") for k, v in shape.items()],
-        F.when(has_dq, ma["mean"]).alias("c_dq_mean"), F.when(has_dq, cv.rms(ma)).alias("c_dq_rms"),
-        F.col("q10").alias("c_v_q10_last"), F.col("q50").alias("c_v_q50_last"), F.col("q90").alias("c_v_q90_last"),
-        (F.col("q50") - F.col("e50")).alias("c_dv_q50"),
-        (F.col("pl.v") - F.col("pe.v")).alias("c_dqdv_peak_shift"),
-        ratio("pl.height", "pe.height").alias("c_dqdv_peak_ratio"),
-        log10(cv.var_sample(m2)).alias("c_dq2_var_log"), log10_abs(m2["min"]).alias("c_dq2_min_log"),
-        m2["mean"].alias("c_dq2_mean"), cv.rms(m2).alias("c_dq2_rms"),
-        *[F.try_element_at("pts", F.lit(j + 1)).alias(f"c_dq2_curve_{j:02d}") for j in range(CURVE_SAMPLES)],
-    )
+    return s.select("cell_id", "T", *[exprs[n]().alias(n) for n in names])
 
 
 # ---------------------------------------------------------------- sets
@@ -320,9 +321,10 @@ def build_features(
     names = FEATURE_SETS[feature_set]
     rows = series_rows(signals, horizons, nominal, every)
     out = rows.groupBy("cell_id", "T").agg(*[e.alias(n) for n, e in series.items()])
-    mark = "a_" if feature_set == "A" else "c_"
-    shape = curve_features(horizon_curves(signals, horizons, every), half, peak_width, peak_margin)
-    shape = shape.select("cell_id", "T", *[F.col(f"{mark}{n}").alias(n) for n in names if n not in series])
+    curve_names = [n for n in names if n not in series]
+    shape = curve_features(
+        horizon_curves(signals, horizons, every), curve_names, feature_set == "A", half, peak_width, peak_margin
+    )
     clean = zero_if_missing if feature_set == "A" else finite
     return out.join(shape, ["cell_id", "T"]).select("cell_id", "T", *[clean(n).alias(n) for n in names])
 

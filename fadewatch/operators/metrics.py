@@ -3,13 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .order_stats import _join, average_precision, quantiles, roc_auc, value_profile
 from .splits import bootstrap_interval, bootstrap_weights
 
+EXACT_PAIRS = 50
+
 
 def regression_metrics(
     preds: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred", ref_mean: float | None = None
@@ -87,9 +89,11 @@ def bootstrap_metric_ci(
 
 
 def wilcoxon_signed_rank(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Signed-rank test of paired values: W+, W-, and the two-sided normal p-value with tie correction.
+    """Signed-rank test of paired values: W+, W- and the two-sided p-value.
 
     Zero differences are dropped and equal |differences| share their mean rank.
+    The p-value is exact for up to 50 pairs without ties, else the normal
+    approximation with tie correction.
     """
     by = list(by)
     rows = pairs.select(*by, (F.col(a) - F.col(b)).alias("__d")).filter("__d <> 0")
@@ -106,7 +110,32 @@ def wilcoxon_signed_rank(pairs: DataFrame, by: Sequence[str], a: str, b: str) ->
     m = F.col("n_nonzero").cast("double")
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("__ties") / 48)
     z = F.abs(ratio(F.least("w_plus", "w_minus") - m * (m + 1) / 4, sd))
-    return stats.withColumn("z", z).withColumn("p_value", normal_two_sided(F.col("z"))).drop("__ties")
+    w = F.floor(F.least("w_plus", "w_minus")).cast("int")
+    exact = F.when((F.col("n_nonzero") <= EXACT_PAIRS) & (F.col("__ties") == 0), w)
+    stats = stats.withColumns({"z": z, "__w": exact, "__n": F.col("n_nonzero").cast("int")})
+    table = signed_rank_table(pairs.sparkSession)
+    return (
+        stats.join(F.broadcast(table), ["__n", "__w"], "left")
+        .withColumn("p_value", F.coalesce("__p", normal_two_sided(F.col("z"))))
+        .select(*by, "n_nonzero", "w_plus", "w_minus", "z", "p_value")
+    )
+
+
+def signed_rank_table(spark: SparkSession) -> DataFrame:
+    """Exact two-sided p-value for every (n, smaller rank sum), n up to 50: about 22 000 rows.
+
+    Counts of sign patterns by rank sum follow from adding one rank at a time.
+    """
+    counts, rows = [1], []
+    for n in range(1, EXACT_PAIRS + 1):
+        counts = [
+            (counts[s] if s < len(counts) else 0) + (counts[s - n] if s >= n else 0) for s in range(len(counts) + n)
+        ]
+        below = 0
+        for s in range(n * (n + 1) // 4 + 1):
+            below += counts[s]
+            rows.append((n, s, min(1.0, 2.0 * below / 2**n)))
+    return spark.createDataFrame(rows, "__n int, __w int, __p double")
 
 
 def normal_two_sided(z: Column) -> Column:

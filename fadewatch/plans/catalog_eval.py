@@ -572,3 +572,14 @@ def _lookup(spark, sf):
 def seen_unseen_errors(spark, sf):
     p = preds(spark, sf).withColumn("seen", F.col("protocol") != "5-LOW")
     return pl.seen_unseen_errors(p, ["model"], "y_true", "y_pred")
+
+
+@query("T13 T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=3, B=25)},
+  s AS (SELECT repeat, policy, alpha, {_sum_sql('1')} FROM dec GROUP BY repeat, policy, alpha), m AS (SELECT policy, alpha, {_AVG} FROM s GROUP BY policy, alpha),
+  t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
+  q AS (SELECT policy, alpha, quantile_cont(avg_test_cycles, 0.025) AS lo, quantile_cont(avg_test_cycles, 0.975) AS hi FROM u GROUP BY ALL)
+  SELECT policy, alpha, printf('%.1f [%.1f, %.1f]', avg_test_cycles, lo, hi) AS avg_test_cycles FROM m JOIN q USING (policy, alpha)""", "alpha")
+def policy_table_text(spark, sf):
+    from ..operators.reports import interval_pivot
+
+    return interval_pivot(pl.policy_summary_ci(_decisions(spark, sf), n_boot=25), ["policy", "alpha"], ["avg_test_cycles"])

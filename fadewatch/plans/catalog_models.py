@@ -593,3 +593,75 @@ def missing_value_sweep(spark, sf):
     test = m.filter("fold = 0").select("cell_id", "y", *PAIR)
     cond = ex.missing_conditions(test, PAIR, "cell_id", (0.1, 0.2), 2)
     return ex.robustness_sweep(spark, models.filter("split = 'final'"), test, cond, PAIR, "cell_id", "y")
+
+
+# ------------------------------------------------------------- report tables with several inputs
+
+_BOOT20 = f"""ids AS (SELECT DISTINCT cell_id FROM preds), idx AS (SELECT cell_id, row_number() OVER (ORDER BY md5(cell_id::VARCHAR), cell_id) - 1 AS j, count(*) OVER () AS n FROM ids),
+  draw AS (SELECT b, least(floor({_HASH.format("0 || ',' || b || ',' || j")} * n), n - 1)::BIGINT AS pick FROM idx, range(20) t(b)),
+  bw AS (SELECT d.b, i.cell_id, count(*) AS w FROM draw d JOIN idx i ON i.j = d.pick GROUP BY ALL)"""
+_PM = lambda m, s: f"printf('%.1f', {m}) || ' ± ' || printf('%.1f', {s})"
+_PART = "CASE WHEN cell_id % 3 = 0 THEN 'oof' ELSE 'test' END"
+_NM = ["RMSE", "MAE", "R2", "MedAE", "Bias", "nRMSE", "MAPE"]
+_SUM2 = f"""pp AS (SELECT *, {_PART} AS part FROM preds), m AS (SELECT part, model, seed, {_METRICS} FROM pp GROUP BY part, model, seed),
+  sm AS (SELECT part, model, {', '.join(f'avg({x}) AS {x}_m, stddev_samp({x}) AS {x}_s' for x in _NM)} FROM m GROUP BY part, model)"""
+
+
+def _summaries(spark, sf):
+    p = preds(spark, sf).withColumn("part", F.when(F.col("cell_id") % 3 == 0, "oof").otherwise("test"))
+    s = mt.summarize_seeds(mt.regression_metrics(p, ["part", "model", "seed"]), ["part", "model"], _NM)
+    return p, s.filter("part = 'test'").drop("part"), s.filter("part = 'oof'").drop("part")
+
+
+@query("T2 R6 E1", f"""WITH {PREDS_SQL}, {_BOOT20}, {_SUM2},
+  pb AS (SELECT b, model, avg(r) AS r FROM (SELECT b, model, seed, sqrt(sum(w * (y_pred - y_true) * (y_pred - y_true)) / sum(w)) AS r FROM preds JOIN bw USING (cell_id) GROUP BY ALL) GROUP BY ALL),
+  ci AS (SELECT model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM pb GROUP BY ALL)
+  SELECT CASE WHEN t.model = 'a' THEN 'a ★' ELSE t.model END AS "Model", {_PM('t.RMSE_m', 't.RMSE_s')} AS "RMSE", printf('[%.0f, %.0f]', lo, hi) AS "CI95", {_PM('t.MAE_m', 't.MAE_s')} AS "MAE",
+    {_PM('t.MedAE_m', 't.MedAE_s')} AS "MedAE", printf('%.3f', t.R2_m) AS "R2", printf('%+.1f', t.Bias_m) AS "Bias", printf('%.3f', t.nRMSE_m) AS "nRMSE",
+    printf('%.1f', 100 * t.MAPE_m) AS "MAPE_pct", {_PM('o.RMSE_m', 'o.RMSE_s')} AS "CV_RMSE"
+  FROM sm t JOIN ci USING (model) JOIN sm o ON o.model = t.model AND o.part = 'oof' WHERE t.part = 'test'""")
+def main_benchmark_table(spark, sf):
+    p, test, oof = _summaries(spark, sf)
+    ci = mt.bootstrap_metric_ci(p, "cell_id", ["model"], n_boot=20)
+    return rp.main_benchmark(test, oof, ci, "a")
+
+
+@query("T4 T6", f"""WITH {PREDS_SQL}, {_SUM2}, r(role, model) AS (VALUES ('best individual', 'a'), ('final ensemble', 'c'))
+  SELECT role, r.model, {_PM('t.RMSE_m', 't.RMSE_s')} AS test_rmse, {_PM('t.MAE_m', 't.MAE_s')} AS test_mae, {_PM('o.RMSE_m', 'o.RMSE_s')} AS cv_rmse
+  FROM r JOIN sm t ON t.model = r.model AND t.part = 'test' JOIN sm o ON o.model = r.model AND o.part = 'oof'""")
+def role_table(spark, sf):
+    _, test, oof = _summaries(spark, sf)
+    cv = oof.select("model", F.col("RMSE_mean").alias("cv_mean"), F.col("RMSE_std").alias("cv_std"))
+    roles = spark.createDataFrame([("best individual", "a"), ("final ensemble", "c")], "role string, model string")
+    return rp.role_table(test.join(cv, "model"), roles, [])
+
+
+@query("T1", f"""WITH {PREDS_SQL}, {_SUM2}, pub(model, published_rmse) AS (VALUES ('a', 136.0::DOUBLE), ('b', 329.0), ('unrun', 90.0))
+  SELECT pub.model, coalesce({_PM('RMSE_m', 'RMSE_s')}, '-') AS our_rmse, published_rmse FROM pub LEFT JOIN (SELECT * FROM sm WHERE part = 'test') t ON t.model = pub.model""", "published_rmse")
+def baseline_reproduction_table(spark, sf):
+    _, test, _ = _summaries(spark, sf)
+    pub = spark.createDataFrame([("a", 136.0), ("b", 329.0), ("unrun", 90.0)], "model string, published_rmse double")
+    return rp.baseline_reproduction(test.select("model", F.col("RMSE_mean").alias("RMSE"), F.col("RMSE_std").alias("RMSE_std")), pub)
+
+
+@query("T3", f"""WITH {PREDS_SQL}, {_BOOT20},
+  wide AS (SELECT cell_id, seed, y_true AS y, max(y_pred) FILTER (WHERE model = 'a') AS a, max(y_pred) FILTER (WHERE model = 'c') AS b FROM preds GROUP BY ALL),
+  e AS (SELECT cell_id, seed, (a - y) * (a - y) AS sa, (b - y) * (b - y) AS sb, abs(a - y) AS aa, abs(b - y) AS ab FROM wide),
+  f AS (SELECT avg(dr) AS dr, avg(dm) AS dm FROM (SELECT seed, sqrt(avg(sa)) - sqrt(avg(sb)) AS dr, avg(aa) - avg(ab) AS dm FROM e GROUP BY ALL)),
+  bb AS (SELECT b, avg(d) AS d FROM (SELECT bw.b, seed, sqrt(sum(w * sa) / sum(w)) - sqrt(sum(w * sb) / sum(w)) AS d FROM e JOIN bw USING (cell_id) GROUP BY ALL) GROUP BY ALL),
+  q AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg((d < 0)::INT) AS s FROM bb), pc AS (SELECT cell_id, avg(aa) AS ma, avg(ab) AS mb FROM e GROUP BY ALL)
+  SELECT 'c' AS versus, printf('%+.1f', dr) AS d_rmse, printf('[%+.1f, %+.1f]', lo, hi) AS ci95, printf('%.2f', s) AS p_below_zero, printf('%+.1f', dm) AS d_mae,
+    (SELECT count(*) FILTER (WHERE ma < mb) || '/' || count(*) FROM pc) AS cells_better FROM f, q""")
+def paired_comparison_table(spark, sf):
+    wide = preds(spark, sf).groupBy("cell_id", "seed", "y_true").pivot("model", ["a", "c"]).agg(F.max("y_pred"))
+    c = mt.paired_comparison(wide, "cell_id", [], "y_true", "a", "c", n_boot=20)
+    return rp.paired_table(c.withColumn("versus", F.lit("c"))).drop("wilcoxon_p")
+
+
+@query("T11 J10", f"""WITH {PREDS_SQL}, m AS (SELECT 20 + 30 * seed AS T, model AS config, avg(abs(y_pred - y_true)) AS e FROM preds GROUP BY ALL),
+  d AS (SELECT m.T, m.config, m.e, m.e - f.e AS de FROM m JOIN (SELECT * FROM m WHERE config = 'a') f USING (T))
+  SELECT config, max(CASE WHEN T = 20 THEN printf('%.1f (%+.1f)', e, de) END) AS "T20", max(CASE WHEN T = 50 THEN printf('%.1f (%+.1f)', e, de) END) AS "T50" FROM d GROUP BY ALL""")
+def ablation_table(spark, sf):
+    p = preds(spark, sf)
+    m = p.groupBy((20 + 30 * F.col("seed")).alias("T"), F.col("model").alias("config")).agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("cv_mae"))
+    return rp.ablation_pivot(rb.change_from_baseline(m, ["T"], "config", "a", ["cv_mae"], "d_"), [20, 50])

@@ -77,16 +77,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_signals(signals: DataFrame, path: str, partition: str | None = None, incremental: bool = False) -> None:
-    """Materialise the per-cycle table once, clustered by entity so that later steps read few files per entity.
+    """Materialise the per-cycle table once, in ranges of (entity, cycle).
 
-    ``incremental`` appends only entities that are not present yet. Rows are
-    spread by (entity, cycle), so one long-lived entity does not make one file.
+    Files then hold few entities and prune by their id, and one long-lived
+    entity spreads over several files. ``incremental`` appends only entities
+    that are not present yet.
     """
     spark = signals.sparkSession
     rows, mode = signals, "overwrite"
     if incremental and _exists(spark, path):
         rows, mode = new_cells(signals, spark.read.parquet(path)), "append"
-    w = rows.repartition("cell_id", "cycle_idx").sortWithinPartitions("cell_id", "cycle_idx").write.mode(mode)
+    w = rows.repartitionByRange("cell_id", "cycle_idx").sortWithinPartitions("cell_id", "cycle_idx").write.mode(mode)
     (w.partitionBy(partition) if partition else w).option("compression", "zstd").parquet(path)
 
 
@@ -137,7 +138,7 @@ def read_manifests(spark: SparkSession, path: str, key: str = "cell_id") -> tupl
 
 def write_features(features: DataFrame, path: str, feature_set: str) -> None:
     """Feature matrix of one set, partitioned by (feature_set, T) so that a reader prunes to one matrix."""
-    (features.withColumn("feature_set", F.lit(feature_set)).repartition("T", "cell_id")
+    (features.withColumn("feature_set", F.lit(feature_set)).repartitionByRange("T", "cell_id")
      .write.mode("append").partitionBy("feature_set", "T").parquet(path))
 
 

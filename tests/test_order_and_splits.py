@@ -160,3 +160,15 @@ def test_paired_comparison_and_signed_rank(spark):
     rk = avg_rank(abs(d))
     w = mt.wilcoxon_signed_rank(wide.select(F.abs(F.col("a") - F.col("y")).alias("p"), F.abs(F.col("b") - F.col("y")).alias("q")), [], "p", "q").first()
     assert (w.w_plus, w.w_minus) == (pytest.approx(rk[d > 0].sum()), pytest.approx(rk[d < 0].sum()))
+
+
+def test_exact_signed_rank_p_values(spark):
+    import itertools
+
+    d = [1.5, -0.2, 3.0, 0.7, 2.2, -0.9, 4.1]
+    df = spark.createDataFrame([(x, 0.0) for x in d], "a double, b double")
+    r = mt.wilcoxon_signed_rank(df, [], "a", "b").first()
+    ranks = avg_rank(np.abs(d))
+    t = min(r.w_plus, r.w_minus)
+    sums = [sum(k for k, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=7)]
+    assert r.p_value == pytest.approx(min(1.0, 2 * np.mean([s <= t for s in sums])))
