@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -132,6 +132,15 @@ def prepare(rows: DataFrame, features: Sequence[str], target: str, probs=(0.01,
     return out
 
 
+def solve_on(prep: Prepared, features: Sequence[str], used: Sequence[str], solve) -> np.ndarray:
+    """Solve with a subset of the features, from sub-blocks of the moments; other coefficients are zero."""
+    at = [list(features).index(f) for f in used]
+    part = replace(prep, gram=prep.gram[np.ix_(at, at)], cross=prep.cross[at])
+    coef = np.zeros(len(features))
+    coef[at] = solve(part)
+    return coef
+
+
 def ridge(prep: Prepared, alpha: float) -> np.ndarray:
     return np.linalg.solve(prep.gram + alpha * np.eye(len(prep.cross)), prep.cross)
 

@@ -272,39 +272,48 @@ def balanced_logistic(spark: SparkSession, train: DataFrame, test: DataFrame, ke
 def baseline_harness(spark: SparkSession, train: DataFrame, test: DataFrame, key: str, target: str, specs: dict[str, tuple[str, Sequence[str], int]]) -> DataFrame:
     """Plain z-score baselines: spec name -> (kind, features, size) with kind dummy, ols, ridge, pls or pcr.
 
-    Features and ln-target are scaled by sample deviations; no clipping.
+    Features and ln-target are scaled by sample deviations; no clipping. All
+    specs are solved from one moment matrix over all their features.
     """
     solve = {
         "dummy": lambda p, _: p.cross * 0.0, "ols": lambda p, _: li.ordinary(p), "ridge": lambda p, a: li.ridge(p, a),
         "pls": lambda p, k: li.partial_least_squares(p, k), "pcr": lambda p, k: li.principal_components(p, k),
     }
-    preds = None
-    for name, (kind, features, size) in specs.items():
-        prep = li.prepare(train.withColumn(li.SPLIT, F.lit("final")), features, target, winsor=False, sample_std=True)
-        models = li.model_table(spark, prep, [li.Weights(name, "final", solve[kind](prep["final"], size))], features)
-        one = li.predict(test.withColumn(li.SPLIT, F.lit("final")), models, features, keep=[key, target]).select(
-            key, "model", F.col(target).alias("y_true"), "y_pred"
-        )
-        preds = one if preds is None else preds.unionByName(one)
-    return preds
+    every = list(dict.fromkeys(f for _, fs, _ in specs.values() for f in fs))
+    prep = li.prepare(train.withColumn(li.SPLIT, F.lit("final")), every, target, winsor=False, sample_std=True)
+    weights = [
+        li.Weights(name, "final", li.solve_on(prep["final"], every, fs, lambda p, k=kind, s=size: solve[k](p, s)))
+        for name, (kind, fs, size) in specs.items()
+    ]
+    models = li.model_table(spark, prep, weights, every)
+    p = li.predict(test.withColumn(li.SPLIT, F.lit("final")), models, every, keep=[key, target])
+    return p.select(key, "model", F.col(target).alias("y_true"), "y_pred")
 
 
 def group_ablation(spark: SparkSession, train: DataFrame, test: DataFrame, key: str, target: str, configs: dict[str, Sequence[str]], fold: str, k: int,
                    pls_components: int, probs=(0.01, 0.99)) -> DataFrame:
-    """Retrain PLS with each column list; cross-validated and test errors and their change from 'full'."""
-    rows = None
-    train = materialize(train)
-    for config, features in configs.items():
-        prep = li.prepare(li.training_rows(train, fold, k), features, target, probs)
-        models = li.model_table(spark, prep, li.solve_all(prep, pls_components=[min(pls_components, len(features))]), features)
-        parts = []
-        for part, df in (("cv", li.out_of_fold(train, models, features, fold, [target])),
-                         ("test", li.predict(test.withColumn(li.SPLIT, F.lit("final")), models, features, keep=[target]))):
-            e = F.col("y_pred") - F.col(target)
-            parts.append(df.agg(F.sqrt(F.avg(e * e)).alias(f"{part}_rmse"), F.avg(F.abs(e)).alias(f"{part}_mae")))
-        one = parts[0].crossJoin(parts[1]).select(F.lit(config).alias("config"), F.lit(len(features)).alias("n_features"), "*")
-        rows = one if rows is None else rows.unionByName(one)
-    rows = materialize(rows.withColumn("model", F.lit("plsr")))
+    """Retrain PLS with each column list; cross-validated and test errors and their change from 'full'.
+
+    The preprocessing of a feature does not depend on its neighbours, so all
+    configurations of all folds come from one moment matrix per fold, and one
+    pass predicts them all.
+    """
+    every = list(dict.fromkeys(f for fs in configs.values() for f in fs))
+    train = materialize(train.select(key, target, fold, *every))
+    prep = li.prepare(li.training_rows(train, fold, k), every, target, probs)
+    weights = [
+        li.Weights(config, split, li.solve_on(p, every, fs, lambda q, n=min(pls_components, len(fs)): li.partial_least_squares(q, n)))
+        for split, p in prep.items() for config, fs in configs.items()
+    ]
+    models = li.model_table(spark, prep, weights, every)
+    e = F.col("y_pred") - F.col(target)
+    parts = [
+        df.groupBy(F.col("model").alias("config")).agg(F.sqrt(F.avg(e * e)).alias(f"{part}_rmse"), F.avg(F.abs(e)).alias(f"{part}_mae"))
+        for part, df in (("cv", li.out_of_fold(train, models, every, fold, [target])),
+                         ("test", li.predict(test.withColumn(li.SPLIT, F.lit("final")), models, every, keep=[target])))
+    ]
+    sizes = spark.createDataFrame([(c, len(fs)) for c, fs in configs.items()], "config string, n_features int")
+    rows = sizes.join(parts[0], "config").join(parts[1], "config").withColumn("model", F.lit("plsr"))
     return change_from_baseline(rows, ["model"], "config", "full", ["cv_rmse", "cv_mae", "test_rmse", "test_mae"], "d_")
 
 

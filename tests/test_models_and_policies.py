@@ -104,6 +104,19 @@ def test_ridge_and_pls_match_dense_solutions(spark, matrix):
             np.testing.assert_allclose([got[m][i] for i in np.flatnonzero(~train)], want, rtol=1e-8)
 
 
+def test_group_ablation_equals_separate_fits(spark, matrix):
+    from fadewatch.plans.experiments import group_ablation
+
+    x, y, df = matrix
+    out = group_ablation(spark, df, df, "cell_id", "y", {"full": list("abd"), "only:a": ["a"], "drop:a": ["b", "d"]}, "fold", 5, 2)
+    got = {r.config: r for r in out.collect()}
+    assert got["full"].d_cv_mae == 0 and got["only:a"].n_features == 1 and got["drop:a"].d_cv_mae > 0
+    for config, cols, k in (("full", [0, 1, 3], 2), ("only:a", [0], 1)):
+        z, t, my, sy = reference(x[:, cols], y, np.ones(300, bool))
+        p = np.exp(my + sy * (z @ nipals(z, t, k)))
+        assert got[config].test_rmse == pytest.approx(np.sqrt(((p - y) ** 2).mean()))
+
+
 def test_winsor_bounds_come_from_training_rows_only(spark):
     df = spark.createDataFrame([(0, 0.0, 500.0), (1, 1.0, 600.0)], "cell_id int, a double, y double").withColumn("split", F.lit("final"))
     prep = li.prepare(df, ["a"], "y", probs=(0.0, 1.0))["final"]
