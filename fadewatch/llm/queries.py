@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, url_filter
+from . import byte_bpe, extendible_shards, line_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,58 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), *byte_bpe_files())
 
 
+# ------------------------------------------------------------- 5: shards
+
+SHARD_BYTES = 1 << 20
+
+
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, at most SHARD_BYTES of text each."""
+    return extendible_shards.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES, F.octet_length("text"), ["doc_id", "text"]).drop("text")
+
+
+SHARD_SQL = f"""WITH rows AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(concat_ws(':', md5(CAST(doc_id AS VARCHAR)), md5(text))), 1, 15) AS BIGINT) AS bits FROM documents),
+sizes AS (
+  SELECT depth, bits >> (60 - depth) AS bucket, sum(bytes) AS bytes, count(*) AS n FROM rows, range(0, 61) d(depth) GROUP BY ALL)
+SELECT doc_id, any_value(r.bytes) AS bytes, CAST(min(depth) AS INTEGER) AS depth,
+  CASE WHEN min(depth) = 0 THEN '' ELSE lpad(bin(any_value(bits) >> (60 - min(depth))), CAST(min(depth) AS INTEGER), '0') END AS shard
+FROM rows r JOIN sizes s ON s.bucket = r.bits >> (60 - s.depth) WHERE s.bytes <= {SHARD_BYTES} OR s.n = 1 GROUP BY doc_id"""
+
+# ------------------------------------------------------------- 6: lines
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that equal or nearly equal an earlier line of the corpus."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LINE_SQL = f"""WITH lines AS (
+  SELECT doc_id, u.k - 1 AS line_no, u.line, regexp_split_to_array(trim(u.line, e' \\t\\r\\x0b\\f'), '[ \\t\\r\\x0b\\f]+') AS words
+  FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k) u),
+firsts AS (
+  SELECT line, min((doc_id, line_no)) AS place, any_value(words) AS words, len(any_value(words)) AS n
+  FROM lines WHERE regexp_matches(line, '[^ \\t\\r\\x0b\\f]') GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= {line_dedup.MIN_WORDS}),
+halves AS (
+  SELECT DISTINCT place, n, words, h, side, CASE side WHEN 0 THEN words[1:h] ELSE words[n - h + 1:n] END AS half
+  FROM long, LATERAL (SELECT unnest([(n - 1) // 2, n // 2]) AS h) a, (VALUES (0), (1)) s(side)),
+pairs AS (
+  SELECT DISTINCT b.place, a.words AS x, b.words AS y, a.n, b.n AS m FROM halves a JOIN halves b
+    ON a.h = b.h AND a.side = b.side AND a.half = b.half AND a.place < b.place AND abs(a.n - b.n) <= 1),
+near AS (
+  SELECT DISTINCT place FROM pairs WHERE CASE
+    WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: x[i] != y[i])) <= 1
+    WHEN n > m THEN len(list_filter(range(1, n + 1), lambda i: list_concat(x[1:i - 1], x[i + 1:n]) = y)) > 0
+    ELSE len(list_filter(range(1, m + 1), lambda i: list_concat(y[1:i - 1], y[i + 1:m]) = x)) > 0 END),
+kept AS (
+  SELECT l.doc_id, l.line_no, l.line FROM lines l LEFT JOIN firsts f ON f.place = (l.doc_id, l.line_no)
+  WHERE NOT regexp_matches(l.line, '[^ \\t\\r\\x0b\\f]') OR (f.place IS NOT NULL AND f.place NOT IN (SELECT place FROM near))),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n_kept FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines,
+  CAST(coalesce(t.n_kept, 0) AS INTEGER) AS n_kept FROM documents d LEFT JOIN texts t USING (doc_id)"""
+
 # ------------------------------------------------------------- 7: URL filter
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -54,5 +107,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit_weight >= {url
   hit_terms, hit_weight FROM judged"""
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_url_filter)}
-ORACLES = {"op7_url_filter": URL_SQL}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter)}
+ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL}
