@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extendible_shards, line_dedup, url_filter
+from . import byte_bpe, extendible_shards, line_dedup, line_quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,5 +107,19 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit_weight >= {url
   hit_terms, hit_weight FROM judged"""
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter)}
+# ------------------------------------------------------------- 8: quality
+
+KEEP_FROM = 0.7
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; no label of a held-out row is learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = line_quality.score(docs, model).drop("text")
+    return scored.select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality)}
 ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL}
