@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extendible_shards, line_dedup, line_quality, url_filter
+from . import byte_bpe, extendible_shards, line_dedup, line_quality, ngram_join, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,5 +121,28 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality)}
-ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL}
+# ------------------------------------------------------------- 10: n-gram Jaccard join
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 3-word shingle sets with a Jaccard similarity of 0.9 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.similarity_components(docs, 3, 90).drop("text_key1", "text_key2")
+
+
+NGRAM_SQL = """WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE array_to_string(words[k:k + 2], ' ') END AS gram
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 1, 2))) AS k) u WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * common >= 90 * (na.n + nb.n - common)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
+ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
