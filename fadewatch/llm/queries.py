@@ -4,13 +4,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, extendible_shards, line_dedup, line_quality, ngram_join, url_filter
+from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ------------------------------------------------------------- 2: decontamination
+
+
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the best window."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # ------------------------------------------------------------- 3: byte-level BPE
 
 
@@ -144,5 +152,5 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS componen
 
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_simhash_decontamination, op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
 ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
