@@ -4,13 +4,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, url_filter
+from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, surrogates, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ------------------------------------------------------------- 1: personal data
+
+#: Stands for a secret that a user of the library keeps; the query needs a fixed one.
+SURROGATE_KEY = b"a key for the queries of this repository"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 # ------------------------------------------------------------- 2: decontamination
 
 
@@ -152,5 +163,5 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS componen
 
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_decontamination, op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
 ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
