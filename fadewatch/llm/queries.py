@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, surrogates, url_filter
+from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, surrogates, token_counts, url_filter
+from .staging import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), *byte_bpe_files())
 
 
+# ------------------------------------------------------------- 4: token counts
+
+END_OF_DOCUMENT = 50256
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as flat token files in the shared folder and count the tokens of each from these files."""
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), shared_folder(spark), *byte_bpe_files(), END_OF_DOCUMENT)
+
+
 # ------------------------------------------------------------- 5: shards
 
 SHARD_BYTES = 1 << 20
@@ -163,5 +174,5 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS componen
 
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
 ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
