@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, ngram_join, surrogates, token_counts, url_filter
+from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
 from .staging import shared_folder
 
 
@@ -151,6 +151,14 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+# ------------------------------------------------------------- 9: nearest neighbours
+
+
+def op9_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20, among all others."""
+    return neighbour_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 # ------------------------------------------------------------- 10: n-gram Jaccard join
 
 
@@ -174,5 +182,5 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS componen
 
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard)}
 ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
