@@ -8,10 +8,11 @@ for the content of every range, under cuts for its own class of sizes and for th
 partners are in neighbouring classes). Empty ranges are emitted only by sets with more of them than the spare ranges,
 where alone they can matter. So every link shares a key, and sets that only share a passage share hardly any.
 
-Groups of the same members are combined, large ones are cut into blocks that all hold the group's hub (its first set),
-and each block is joined by a prefix tree. A block reports links that connect it, not all pairs. Groups cut into blocks
-whose sets are still in several components are joined block against block. So no link between components is lost, and
-copies never expand into all pairs.
+Groups that share sets are merged (by their ids alone) as long as the merged group fits one block, so a set is sent to one
+task only. What does not fit stays in its groups, where those of the same members count once. Groups too large for a
+block are cut into blocks that all hold the group's hub (its first set). Each block is joined by a prefix tree and reports
+links that connect it, not all pairs. Groups cut into blocks whose sets are still in several components are joined block
+against block. So no link between components is lost, and copies never expand into all pairs.
 """
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ from .staging import staged, text_key
 from .text_arrays import WHITE_SPACE_WORDS, mix, shingles, slices, text_buffers, words
 
 #: n-grams of a block of a group (8 bytes each), and rows of an Arrow batch that carries sets.
-BLOCK_NGRAMS = 1 << 20
+BLOCK_NGRAMS = 1 << 18
 
 
 # ------------------------------------------------------------- candidate keys
@@ -272,20 +273,26 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
-def candidate_groups(sets: DataFrame) -> DataFrame:
-    """Members (group, set_id, hub) of the groups of sets that share a key; groups of the same members count once."""
+def candidate_groups(sets: DataFrame, block_ngrams: int) -> DataFrame:
+    """Members (group, set_id, hub) of groups in which every two sets that share a key meet."""
     keys = sets.select("set_id", F.explode("keys").alias("key"))
     shared = staged(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = staged(keys.join(shared, "key"))
     seal = F.bit_xor(F.xxhash64("set_id")).alias("seal")
     groups = members.groupBy("key").agg(F.count("*").alias("n"), seal, F.min("set_id").alias("hub"), F.max("set_id").alias("last"))
     groups = groups.groupBy("n", "seal", "hub", "last").agg(F.min("key").alias("key"))
-    return members.join(groups.select("key", "hub"), "key").select(F.col("key").alias("group"), "set_id", "hub")
+    groups = staged(members.join(groups.select("key", "hub"), "key").select(F.col("key").alias("group"), "set_id", "hub"))
+    merged = components(groups.select(F.col("hub").alias("a"), F.col("set_id").alias("b")))
+    merged = staged(merged.join(sets.select(F.col("set_id").alias("node"), "n"), "node"))
+    fits = staged(merged.groupBy("component").agg(F.sum("n").alias("total")).filter(F.col("total") <= block_ngrams).select("component"))
+    whole = merged.join(fits, "component").select(F.col("component").alias("group"), F.col("node").alias("set_id"), F.col("component").alias("hub"))
+    rest = merged.join(fits, "component", "left_anti").select(F.col("node").alias("set_id"))
+    return whole.unionByName(groups.join(rest, "set_id", "left_semi"))
 
 
 def links_between_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """Links (a, b) of set_ids that connect all similar sets. ``sets``: set_id, doc_id, text_key1/2 (of one of its documents), n, keys."""
-    groups = staged(candidate_groups(sets))
+    groups = staged(candidate_groups(sets, block_ngrams))
     wanted = groups.select("set_id").distinct().join(sets.select("set_id", "doc_id", "text_key1", "text_key2"), "set_id").alias("w")
     keyed = docs.select("doc_id", "text", *text_key()).alias("d")
     same = (F.col("d.text_key1") == F.col("w.text_key1")) & (F.col("d.text_key2") == F.col("w.text_key2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
