@@ -33,6 +33,8 @@ def brute(docs, items, size=5, threshold=0.8):
                 continue
             n = min(len(q), len(w))
             best = None
+            if not bag(w, min(size, len(q))).keys() & bag(q, size).keys():
+                continue
             for s in range(len(w) - n + 1) if len(w) >= min(size, len(q)) else ():
                 x = alike(bag(w[s : s + n], min(size, len(q))), bag(q, size))
                 if x >= threshold and (best is None or x > best[0] + 1e-12):
