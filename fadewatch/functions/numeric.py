@@ -70,10 +70,18 @@ def percent_effect(phi: Column | str) -> Column:
 
 
 def format_g(x: Column | str) -> Column:
-    """Shortest plain text of a number: 3.6 -> '3.6', 80.0 -> '80' (six significant digits)."""
+    """Shortest text of a number with six significant digits: 3.6 -> '3.6', 80.0 -> '80', 123.4567891 -> '123.457', 1e-7 -> '1e-07'."""
     x = col(x).cast("double")
-    text = F.format_string("%.6f", F.round(x, 6))
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    exponent_text = F.format_string("%.5e", x)  # d.ddddde+xx, rounded to six digits
+    exponent = F.regexp_extract(exponent_text, "e([+-][0-9]+)$", 1).cast("int")
+    digits = _without_zeros(F.regexp_extract(exponent_text, "^(-?[0-9.]+)e", 1))
+    plain = _without_zeros(F.format_string("%.9f", exponent_text.cast("double")))  # nine places hold six digits from 1e-4 on
+    scientific = F.concat(digits, F.lit("e"), F.regexp_extract(exponent_text, "e([+-][0-9]+)$", 1))
+    return F.when(x.isNotNull(), F.when(exponent.between(-4, 5), plain).otherwise(scientific))
+
+
+def _without_zeros(text: Column) -> Column:
+    return F.regexp_replace(text, "\\.?0+$", "")
 
 
 def _known(x: Column, text: Column) -> Column:
@@ -120,6 +128,12 @@ def hash_uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def hash_uniform_53(*parts) -> Column:
+    """The same with 53 random bits, all that a double in [0, 1) holds."""
+    text = F.concat_ws(",", *[(F.lit(p) if not isinstance(p, Column) else p).cast("string") for p in parts])
+    return F.shiftright(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), 7).cast("double") / F.lit(2.0**53)
+
+
 def hash_normal(*parts) -> Column:
     """Standard normal number by the Box-Muller transform of two hash draws."""
     u1 = hash_uniform(*parts, F.lit("u1"))
@@ -128,5 +142,6 @@ def hash_normal(*parts) -> Column:
 
 
 def hash_index(n: Column, *parts) -> Column:
-    """Uniform integer in [0, n) from the text of its parts (n up to 2^32)."""
-    return F.least(F.floor(hash_uniform(*parts) * n), n - 1).cast("long")
+    """Uniform integer in [0, n) from the text of its parts: 60 bits of the hash, so every entity of any fleet can be drawn."""
+    text = F.concat_ws(",", *[(F.lit(p) if not isinstance(p, Column) else p).cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), n).cast("long")

@@ -18,6 +18,7 @@ from ..functions.batch import spike_free
 from ..functions.numeric import EPS, finite, in_range_or_null, ln_eps, log10_abs, positive_or_null, ratio, zero_if_missing
 from ..functions.series import fill_gaps
 from ..schema import SET_A, SIGNALS, assert_feature_inputs
+from .windows import require_cycles
 
 REF = 1          # cycle 2 is the reference cycle
 LEVEL_SPAN = 5   # cycles of an end level
@@ -306,15 +307,19 @@ def curve_features(picked: DataFrame, names: Sequence[str], zero_fill: bool = Fa
 
 def build_features(
     signals: DataFrame, feature_set: str, horizons: Sequence[int], nominal: Column | float = 1.1, every: int = 1,
-    half: int = 10, peak_width: int = 25, peak_margin: int = 50,
+    half: int = 10, peak_width: int = 25, peak_margin: int = 50, short: str = "fail",
 ) -> DataFrame:
     """Feature matrix of one set: (cell_id, T, features...), all horizons in one pass.
 
+    An entity without all cycles of every horizon raises; with ``short='drop'``
+    it has rows for the horizons it covers only.
     ``every`` > 1 keeps cycles 0, k, 2k, ... only. Non-finite values become
     NULL; set A reports 0 instead.
     """
     if feature_set not in FEATURE_SETS:
         raise KeyError(f"unknown feature set {feature_set!r}; known: {sorted(FEATURE_SETS)}")
+    if short == "fail":
+        require_cycles(signals, horizons, every)
     series = set_a_series() if feature_set == "A" else set_b_series()
     if feature_set in ("C", "D"):
         series.update(set_c_series())

@@ -203,7 +203,8 @@ def discharge_curve(points: DataFrame, limits: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     dis = (
         points.filter(F.col("i") < -DISCHARGE_CURRENT_A)
-        .select(*keys, F.col("v").cast("double").alias("v"), F.col("qd").cast("double").alias("q"), "pt_idx")
+        .select(*keys, finite("v").alias("v"), finite("qd").alias("q"), "pt_idx")
+        .filter("v IS NOT NULL AND q IS NOT NULL")
         .join(limits.select("cell_id", "min_voltage_v", "max_voltage_v"), "cell_id")
     )
     step = (F.col("max_voltage_v") - F.col("min_voltage_v")) / (curve_points - 1)

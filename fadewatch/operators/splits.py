@@ -1,12 +1,13 @@
 """Partitions, leakage-safe folds and resampling of entities."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_index, hash_uniform
+from ..functions.numeric import hash_index, hash_uniform_53
 from .order_stats import _join, quantiles, with_hash_index, with_position
 
 
@@ -47,6 +48,13 @@ def assert_same_ids(left: DataFrame, right: DataFrame, key: str) -> None:
         raise LeakageError(f"id sets differ, e.g. {[tuple(r) for r in sample]}")
 
 
+def assert_unique(df: DataFrame, key: str) -> None:
+    """Every id has one row."""
+    sample = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(3).collect()
+    if sample:
+        raise LeakageError(f"ids with several rows, e.g. {[tuple(r) for r in sample]}")
+
+
 def fixed_partition(cells: DataFrame, train: DataFrame, test: DataFrame, key: str, excluded: DataFrame | None = None) -> DataFrame:
     """Assign 'train' or 'test' from user lists; excluded ids and unlisted cells are dropped."""
     listed = train.select(key, F.lit("train").alias("partition")).unionByName(
@@ -151,11 +159,14 @@ def bootstrap_weights(cells: DataFrame, key: str, n_boot: int, seed: int, by: Se
 
 
 def poisson_weights(cells: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """Poisson(1) multiplicities: the bootstrap for very large n, drawn without any shuffle."""
-    u = hash_uniform(seed, F.col("b"), F.col(key))
-    cdf, p, w = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 16):
-        cdf += p
+    """Poisson(1) multiplicities: the bootstrap for very large n, drawn without any shuffle.
+
+    Every multiplicity that a draw of 53 bits can reach is inverted: the steps end where the distribution function is 1.
+    """
+    u = hash_uniform_53(seed, F.col("b"), F.col(key))
+    cdf, p, w, k = 0.0, math.exp(-1.0), F.lit(0), 0
+    while cdf + p > cdf:
+        cdf, k = cdf + p, k + 1
         p /= k
         w = w + (u >= cdf).cast("int")
     rows = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SERIES_CYCLES = 30
 HORIZONS = [5, 10, 20, 30]
 NOMINAL = 1.1
 CURVE_POINTS = 64
@@ -60,7 +59,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------- entity series
 
-SERIES_SQL = f"""ev AS (
+SERIES_SQL = """ev AS (
   SELECT user_id, event_id, event_type, value, count(*) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cycle_idx
   FROM events),
 series AS (
@@ -71,14 +70,14 @@ series AS (
     3.0 + value / 41.1 AS t_rest, 3.3 - value / 907.3 AS e_dis, 3.5 + value / 811.3 AS e_chg, 3.0 + value / 709.3 AS v_dis_avg,
     4.0 + value / 203.3 AS i_chg_mean, 0.1 + value / 307.3 AS i_chg_std, 5.0 + value / 103.7 AS i_max,
     30.0 + value / 53.3 AS temp_mean, 31.0 + value / 53.3 + event_id % 5 AS temp_max, 29.0 + value / 53.3 - event_id % 3 AS temp_min
-  FROM ev WHERE cycle_idx < {SERIES_CYCLES})"""
+  FROM ev)"""
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
-    """One event = one cycle of the user; the first cycles only (a top-n per user, limited before the shuffle)."""
+    """One event = one cycle of the user; all events. A query with a horizon filters by ``cycle_idx`` itself."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     ev = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    ev = ev.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= SERIES_CYCLES)
+    ev = ev.withColumn("rn", F.row_number().over(w))
     v, k = F.col("value"), F.col("event_id")
     return ev.select(
         F.col("user_id").alias("cell_id"), "event_id", (F.col("rn") - 1).alias("cycle_idx"),

@@ -18,7 +18,7 @@ from .bindings import (
     features_matrix, phi_rows, preds, query, series, table,
 )
 from ..operators.features import FEATURE_SETS, build_features
-from .catalog_eval import _HASH, _METRICS
+from .catalog_eval import _HASH, _HASH60, _METRICS
 from .catalog_series import _set_sql
 
 X = ["x1", "x2", "x3", "x4", "x5"]
@@ -484,7 +484,7 @@ _MAP = ", ".join(f"('{f}', '{gr.feature_group(f)}')" for f in FEATURE_SETS["A"])
 @query("S14 D12 D13 J13 X8", f"""WITH fa AS ({_set_sql('A', [20])}), lg AS (UNPIVOT fa ON {', '.join(FEATURE_SETS['A'])} INTO NAME feature VALUE value),
   gm(feature, grp) AS (VALUES {_MAP}) SELECT grp, count(*) AS n, avg(value) AS mean_value, max(value) AS max_value FROM lg JOIN gm USING (feature) GROUP BY ALL""", "mean_value max_value", 5)
 def feature_group_profile(spark, sf):
-    a = build_features(curved_series(spark, sf), "A", [20], peak_width=5, peak_margin=3)
+    a = build_features(curved_series(spark, sf), "A", [20], peak_width=5, peak_margin=3, short="drop")
     long = a.unpivot(["cell_id", "T"], FEATURE_SETS["A"], "feature", "value")
     g = gr.with_group(long, gr.feature_dictionary(spark).filter("introduced_in_set = 'A'").select("feature", "grp"))
     return g.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"))
@@ -598,7 +598,7 @@ def missing_value_sweep(spark, sf):
 # ------------------------------------------------------------- report tables with several inputs
 
 _BOOT20 = f"""ids AS (SELECT DISTINCT cell_id FROM preds), idx AS (SELECT cell_id, row_number() OVER (ORDER BY md5(cell_id::VARCHAR), cell_id) - 1 AS j, count(*) OVER () AS n FROM ids),
-  draw AS (SELECT b, least(floor({_HASH.format("0 || ',' || b || ',' || j")} * n), n - 1)::BIGINT AS pick FROM idx, range(20) t(b)),
+  draw AS (SELECT b, {_HASH60.format("0 || ',' || b || ',' || j")} % n AS pick FROM idx, range(20) t(b)),
   bw AS (SELECT d.b, i.cell_id, count(*) AS w FROM draw d JOIN idx i ON i.j = d.pick GROUP BY ALL)"""
 _PM = lambda m, s: f"printf('%.1f', {m}) || ' ± ' || printf('%.1f', {s})"
 _PART = "CASE WHEN cell_id % 3 = 0 THEN 'oof' ELSE 'test' END"

@@ -165,12 +165,13 @@ def life_by_partition(spark, sf):
 @query("P1", f"""WITH {SERIES_SQL} SELECT cell_id, cycle_idx, qd, ir FROM series WHERE cycle_idx < 20
   AND cell_id IN (SELECT cell_id FROM series WHERE cycle_idx < 20 GROUP BY cell_id HAVING count(*) >= 20)""", "qd ir")
 def prefix_window(spark, sf):
-    return wn.prefix(series(spark, sf), 20).select("cell_id", "cycle_idx", "qd", "ir")
+    return wn.prefix(series(spark, sf), 20, short="drop").select("cell_id", "cycle_idx", "qd", "ir")
 
 
-@query("P2 B4", f"WITH {SERIES_SQL} SELECT cell_id, cycle_idx, qd FROM series WHERE cycle_idx % 5 = 0", "qd")
+@query("P2 B4", f"""WITH {SERIES_SQL} SELECT cell_id, cycle_idx, qd FROM series WHERE cycle_idx % 5 = 0
+  AND cell_id IN (SELECT cell_id FROM series WHERE cycle_idx % 5 = 0 GROUP BY cell_id HAVING count(*) >= 2)""", "qd")
 def sparse_window(spark, sf):
-    return wn.keep_every(series(spark, sf), 5).select("cell_id", "cycle_idx", "qd")
+    return wn.keep_every(series(spark, sf), 5, short="drop").select("cell_id", "cycle_idx", "qd")
 
 
 @query("P6 P7 P9 V17", f"""WITH {SERIES_SQL} SELECT cell_id, cycle_idx, CASE WHEN qd BETWEEN 0.9 AND 1.08 THEN qd END AS qd,
@@ -274,9 +275,9 @@ def quadratic_coefficient(spark, sf):
 
 @query("V5", f"""WITH {SERIES_SQL} SELECT cell_id, quantile_cont(CASE WHEN cycle_idx >= 25 AND cycle_idx < 30 THEN qd END, 0.5) AS end_level,
   quantile_cont(CASE WHEN cycle_idx >= 1 AND cycle_idx < 4 THEN qd END, 0.5) AS ref_level, max(CASE WHEN cycle_idx = 29 THEN qd END) AS empty_range
-  FROM series GROUP BY ALL""", "end_level ref_level empty_range")
+  FROM series WHERE cycle_idx < 30 GROUP BY ALL""", "end_level ref_level empty_range")
 def levels(spark, sf):
-    s = series(spark, sf).withColumn("T", F.lit(30))
+    s = series(spark, sf).filter("cycle_idx < 30").withColumn("T", F.lit(30))  # the horizon
     return s.groupBy("cell_id").agg(
         ft.level("qd", F.lit(25), F.lit(30)).alias("end_level"), ft.level("qd", F.lit(1), F.lit(4)).alias("ref_level"),
         ft.level("qd", F.lit(40), F.lit(45)).alias("empty_range"),
@@ -501,7 +502,7 @@ SELECT cell_id, T, {', '.join(names)} FROM agg JOIN shape USING (cell_id, T){joi
 
 
 def _build(spark, sf, fs, horizons, every=1):
-    return ft.build_features(curved_series(spark, sf), fs, horizons, every=every, peak_width=_PW, peak_margin=_PM)
+    return ft.build_features(curved_series(spark, sf), fs, horizons, every=every, peak_width=_PW, peak_margin=_PM, short="drop")
 
 
 @query("FA1-FA12 P9 FX1 S8", _set_sql("A", HORIZONS), " ".join(ft.FEATURE_SETS["A"]), 5)

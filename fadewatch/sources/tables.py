@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import format_g
-from ..operators.splits import assert_disjoint, assert_same_ids
+from ..functions.numeric import finite, format_g
+from ..operators.splits import assert_disjoint, assert_same_ids, assert_unique
 from ..schema import RAW_CELL
 
 
@@ -37,7 +37,7 @@ def cycles_table(raw: DataFrame) -> DataFrame:
 
 
 def points_table(raw: DataFrame) -> DataFrame:
-    """One row per point; ``valid`` is False when time and current have unequal lengths."""
+    """One row per point, non-finite values as NULL; ``valid`` is False when time and current have unequal lengths."""
     arrays = {"t": "time_in_s", "i": "current_in_A", "v": "voltage_in_V", "temp": "temperature_in_C",
               "qd": "discharge_capacity_in_Ah", "qc": "charge_capacity_in_Ah"}
     rows = raw.select("cell_id", F.posexplode("cycle_data").alias("cycle_idx", "c"))
@@ -45,7 +45,7 @@ def points_table(raw: DataFrame) -> DataFrame:
         "cell_id", "cycle_idx", (F.size("c.time_in_s") == F.size("c.current_in_A")).alias("valid"),
         F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"c.{src}"), F.array().cast("array<double>")).alias(k) for k, src in arrays.items()])).alias("pt_idx", "p"),
     )
-    return rows.select("cell_id", "cycle_idx", F.col("pt_idx").cast("long").alias("pt_idx"), *[f"p.{k}" for k in arrays], "valid")
+    return rows.select("cell_id", "cycle_idx", F.col("pt_idx").cast("long").alias("pt_idx"), *[finite(f"p.{k}").alias(k) for k in arrays], "valid")
 
 
 def available_cells(points: DataFrame, key: str = "cell_id") -> DataFrame:
@@ -133,13 +133,18 @@ def read_manifests(spark: SparkSession, path: str, key: str = "cell_id") -> tupl
     folds = spark.read.option("header", True).schema(f"{key} string, fold int").csv(f"{path}/cv_folds")
     assert_disjoint({"train": train, "test": test}, key)
     assert_same_ids(folds, train, key)
+    for df in (train, test, folds):
+        assert_unique(df, key)
     return train, test, folds
 
 
 def write_features(features: DataFrame, path: str, feature_set: str) -> None:
-    """Feature matrix of one set, partitioned by (feature_set, T) so that a reader prunes to one matrix."""
+    """Feature matrix of one set, partitioned by (feature_set, T) so that a reader prunes to one matrix.
+
+    A second run replaces the matrices that it writes and leaves all others.
+    """
     (features.withColumn("feature_set", F.lit(feature_set)).repartitionByRange("T", "cell_id")
-     .write.mode("append").partitionBy("feature_set", "T").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature_set", "T").parquet(path))
 
 
 def read_features(spark: SparkSession, path: str, feature_set: str, horizon: int, columns: Sequence[str],
@@ -149,6 +154,8 @@ def read_features(spark: SparkSession, path: str, feature_set: str, horizon: int
     out = df.select("cell_id", "T", *columns)
     if partition is not None:
         assert_same_ids(out, partition, "cell_id")
+        assert_unique(out, "cell_id")
+        assert_unique(partition, "cell_id")
         out = out.join(partition.select("cell_id", "partition"), "cell_id")
     return out
 

@@ -27,9 +27,11 @@ def test_label_cases(spark):
 
 def test_prefix_window_fails_or_drops(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(2)], "cell_id string, cycle_idx int")
-    assert {r.cell_id for r in wn.prefix(df, 4).collect()} == {"a"}
-    with pytest.raises(wn.ShortHistoryError):
-        wn.prefix(df, 4, short="fail")
+    assert {r.cell_id for r in wn.prefix(df, 4, short="drop").collect()} == {"a"}
+    assert {r.cell_id for r in wn.keep_every(df, 2, short="drop").collect()} == {"a"}
+    for build in (lambda: wn.prefix(df, 4), lambda: wn.keep_every(df, 2), lambda: wn.require_cycles(df, [2, 4])):
+        with pytest.raises(wn.ShortHistoryError):
+            build()
 
 
 def test_cutoff_fixture_and_stop_policy(spark):

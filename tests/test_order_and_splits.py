@@ -167,7 +167,9 @@ def test_exact_signed_rank_p_values(spark):
 
     d = [1.5, -0.2, 3.0, 0.7, 2.2, -0.9, 4.1]
     df = spark.createDataFrame([(x, 0.0) for x in d], "a double, b double")
-    r = mt.wilcoxon_signed_rank(df, [], "a", "b").first()
+    r = mt.wilcoxon_signed_rank(df, [], "a", "b", method="exact").first()
+    with pytest.raises(Exception, match="at most 50"):
+        mt.wilcoxon_signed_rank(df.union(df), [], "a", "b", method="exact").collect()
     ranks = avg_rank(np.abs(d))
     t = min(r.w_plus, r.w_minus)
     sums = [sum(k for k, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=7)]

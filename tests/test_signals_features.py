@@ -281,3 +281,39 @@ def test_full_curve_and_legacy(spark, signals):
         d = smooth(nan(rows[(r.cell_id, 99)].qdlin) - nan(rows[(r.cell_id, 9)].qdlin))
         assert r.DeltaQ_Variance == pytest.approx(np.log10(d.var() + 1e-8))
         assert r.IR_Change == pytest.approx(rows[(r.cell_id, 99)].ir - rows[(r.cell_id, 1)].ir)
+
+
+def test_number_text_has_six_significant_digits(spark):
+    from fadewatch.functions.numeric import format_g
+
+    cases = [3.6, 80.0, 123.4567891, 1e-7, 0.0001234567, 1234567.0, 999999.9, 0.0, -0.5, 100000.0, 1.5e300, 7.1e-5]
+    got = [r.g for r in spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, x double").select("k", format_g("x").alias("g")).orderBy("k").collect()]
+    assert got == [f"{x:g}" for x in cases]
+
+
+def test_non_finite_points_leave_the_grid_curve_alone(spark):
+    from fadewatch.operators.signals import discharge_curve
+
+    pts = [("a", 0, k, -1.0, v, q) for k, (v, q) in enumerate([(3.5, 0.1), (3.0, 0.5), (float("nan"), 0.9), (2.5, 0.9), (2.2, float("inf"))])]
+    points = spark.createDataFrame(pts, "cell_id string, cycle_idx int, pt_idx long, i double, v double, qd double")
+    limits = spark.createDataFrame([("a", 2.0, 3.6)], "cell_id string, min_voltage_v double, max_voltage_v double")
+    curve = discharge_curve(points, limits, curve_points=17).first().qdlin
+    assert curve[0] is None and curve[-1] is None and all(x is None or x == x for x in curve)
+    seen = [x for x in curve if x is not None]
+    assert len(seen) >= 10 and seen[:10] == pytest.approx([0.1 + 0.08 * k for k in range(10)])
+
+
+def test_feature_sink_replaces_its_matrix_and_refuses_duplicates(spark, tmp_path):
+    from fadewatch.operators.splits import LeakageError
+    from fadewatch.sources import tables as src
+
+    path, part = str(tmp_path / "f"), spark.createDataFrame([("a", "train"), ("b", "test")], "cell_id string, partition string")
+    rows = spark.createDataFrame([("a", 5, 1.0), ("b", 5, 2.0), ("a", 9, 3.0)], "cell_id string, T int, x double")
+    for _ in range(2):
+        src.write_features(rows, path, "A")
+    src.write_features(rows.filter("T = 5").withColumn("x", F.col("x") + 1), path, "A")
+    assert sorted((r.cell_id, r.x, r.partition) for r in src.read_features(spark, path, "A", 5, ["x"], part).collect()) == [("a", 2.0, "train"), ("b", 3.0, "test")]
+    assert src.read_features(spark, path, "A", 9, ["x"]).count() == 1
+    src.write_features(rows.union(rows), path, "B")
+    with pytest.raises(LeakageError):
+        src.read_features(spark, path, "B", 5, ["x"], part)
