@@ -73,7 +73,7 @@ def fixed_partition(spark, sf):
     return out.select("cell_id", "partition", "c_acctbal")
 
 
-@query("J1 S10", f"""WITH {CELLS_SQL}, f AS (SELECT o_custkey AS cell_id, avg(o_totalprice) AS spend, count(*) AS n FROM orders GROUP BY ALL)
+@query("J1", f"""WITH {CELLS_SQL}, f AS (SELECT o_custkey AS cell_id, avg(o_totalprice) AS spend, count(*) AS n FROM orders GROUP BY ALL)
   SELECT cell_id, spend, n, life, partition FROM f JOIN cells USING (cell_id)""", "spend life")
 def features_with_labels(spark, sf):
     f = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cell_id")).agg(F.avg("o_totalprice").alias("spend"), F.count("*").alias("n"))
@@ -577,7 +577,7 @@ def seen_unseen_errors(spark, sf):
     return pl.seen_unseen_errors(p, ["model"], "y_true", "y_pred")
 
 
-@query("T13 T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=3, B=25)},
+@query("T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=3, B=25)},
   s AS (SELECT repeat, policy, alpha, {_sum_sql('1')} FROM dec GROUP BY repeat, policy, alpha), m AS (SELECT policy, alpha, {_AVG} FROM s GROUP BY policy, alpha),
   t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
   q AS (SELECT policy, alpha, quantile_cont(avg_test_cycles, 0.025) AS lo, quantile_cont(avg_test_cycles, 0.975) AS hi FROM u GROUP BY ALL)

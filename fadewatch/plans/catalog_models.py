@@ -147,7 +147,7 @@ def repeated_tuning(spark, sf):
     return ex.tune_linear(spark, m, "cell_id", "y", X, st)
 
 
-@query("M21 S11 S12")
+@query("M21")
 def configuration_run(spark, sf):
     m = features_matrix(spark, sf)
     st = ex.Settings(ridge_alphas=(0.1, 10.0), pls_components=(1, 3), tuning_repeats=1, seeds=(0, 1))
@@ -301,7 +301,7 @@ def top_features_per_run(spark, sf):
     return at.top_k(_imp(spark, sf), ["model", "source"], 2)
 
 
-@query("A5 K1 (text)", f"WITH {_IMP} SELECT model, source, string_agg(feature, ', ' ORDER BY importance DESC, feature) AS top FROM (SELECT *, row_number() OVER (PARTITION BY model, source ORDER BY importance DESC, feature) AS rank FROM imp) WHERE rank <= 3 GROUP BY model, source")
+@query("K1 (text)", f"WITH {_IMP} SELECT model, source, string_agg(feature, ', ' ORDER BY importance DESC, feature) AS top FROM (SELECT *, row_number() OVER (PARTITION BY model, source ORDER BY importance DESC, feature) AS rank FROM imp) WHERE rank <= 3 GROUP BY model, source")
 def importance_by_life_group(spark, sf):
     return at.top_k_text(_imp(spark, sf), ["model", "source"], 3)
 

@@ -53,7 +53,7 @@ def cycle_signals(spark, sf):
     return sg.cycle_signals(points(spark, sf)).filter("n_points >= 3")
 
 
-@query("C1-C2 C4-C17 (point blocks of 4: border steps)",
+@query("C1-C2 C4-C17 (blocks of 4,096 point numbers: border steps)",
        f"WITH {_SIGNALS_SQL} SELECT cell_id, cycle_idx, n_points, {', '.join(_SIGNAL_COLS.split())} FROM sig", _SIGNAL_COLS, 5)
 def cycle_signals_small_blocks(spark, sf):
     return sg.cycle_signals(points(spark, sf), block_points=4096).filter("n_points >= 3")
@@ -70,7 +70,7 @@ def regime_counts(spark, sf):
     )
 
 
-@query("C3 C18 S4", f"""WITH {_SIGNALS_SQL} SELECT s.cell_id, s.cycle_idx, s.cycle_idx + 1 AS cycle_number,
+@query("C3 C18", f"""WITH {_SIGNALS_SQL} SELECT s.cell_id, s.cycle_idx, s.cycle_idx + 1 AS cycle_number,
     CASE WHEN m.ir > 0.2 THEN NULL ELSE m.ir END AS ir, s.qd, s.e_dis, CASE WHEN s.cycle_idx % 2 = 0 THEN 64 END AS curve_len
   FROM sig s JOIN (SELECT cell_id, cycle_idx, min(temp) / 200.0 AS ir FROM pts GROUP BY ALL) m USING (cell_id, cycle_idx) WHERE cycle_idx < 3""",
        "ir qd e_dis", 5)
@@ -505,7 +505,7 @@ def _build(spark, sf, fs, horizons, every=1):
     return ft.build_features(curved_series(spark, sf), fs, horizons, every=every, peak_width=_PW, peak_margin=_PM, short="drop")
 
 
-@query("FA1-FA12 P9 FX1 S8", _set_sql("A", HORIZONS), " ".join(ft.FEATURE_SETS["A"]), 5)
+@query("FA1-FA12 P9 FX1", _set_sql("A", HORIZONS), " ".join(ft.FEATURE_SETS["A"]), 5)
 def feature_set_a(spark, sf):
     return _build(spark, sf, "A", HORIZONS)
 
