@@ -306,8 +306,19 @@ def conformal_quantile(df: DataFrame, by: Sequence[str], score: str, alphas: Seq
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "spearman", bounded: bool = False) -> DataFrame:
-    """Rank correlation per group over rows where both values exist."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = with_average_rank(rows, by, x, "__rx", bounded=bounded)
-    rows = with_average_rank(rows, by, y, "__ry", bounded=bounded)
-    return rows.groupBy(*by).agg(F.corr("__rx", "__ry").alias(out), F.count("*").alias("n_pairs"))
+    """Rank correlation per group over rows where both values exist.
+
+    Equal pairs of values are combined on the map side first; only one row for
+    each distinct pair meets the ranks. The mean of average ranks is known, so
+    the sums are taken around it.
+    """
+    by = list(by)
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__n"))
+    rows = pairs
+    for value, name in ((x, "__rx"), (y, "__ry")):
+        p = value_profile(pairs, by, value, {"w": F.col("__n")}, bounded)
+        centred = F.col("w_before") + (F.col("w") + 1) / 2 - (F.col("w_total") + 1) / 2
+        rows = _join(rows, p.select(*by, value, centred.alias(name)), [*by, value])
+    w, a, b = F.col("__n"), F.col("__rx"), F.col("__ry")
+    norm = F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(w * a * b), norm).alias(out), F.sum(w).alias("n_pairs"))
