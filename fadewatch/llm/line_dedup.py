@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged, text_key
+from .staging import scratch, staged, text_key
 
 MIN_WORDS = 8
 
@@ -52,10 +52,10 @@ def earliest_lines(docs: DataFrame, min_words: int) -> DataFrame:
     lines = docs.select("doc_id", "text_key1", "text_key2", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
     lines = lines.filter(~is_blank(F.col("line")))
     place = F.min(F.struct("doc_id", "text_key1", "text_key2", "line_no")).alias("place")
-    first = lines.groupBy(F.xxhash64("line").alias("key1"), F.xxhash64(F.lit(7), "line").alias("key2")).agg(place, F.first("line").alias("line"))
-    words = first.withColumn("words", split_words(F.col("line")))
+    words = lines.withColumn("words", split_words(F.col("line")))
     halves = F.when(F.size("words") >= min_words, _half_keys(F.col("words"), F.size("words")))
-    return words.select("key1", "key2", "place", halves.alias("halves"))
+    keyed = words.select("doc_id", "text_key1", "text_key2", "line_no", F.xxhash64("line").alias("key1"), F.xxhash64(F.lit(7), "line").alias("key2"), halves.alias("halves"))
+    return keyed.groupBy("key1", "key2").agg(place, F.first("halves").alias("halves"))
 
 
 def lines_with_partners(first: DataFrame) -> DataFrame:
@@ -141,15 +141,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_lines", "n_kept")
     keyed = docs.withColumns(dict(zip(("text_key1", "text_key2"), text_key(), strict=True)))
     slim = keyed.select("doc_id", "text", "text_key1", "text_key2")
-    first = staged(earliest_lines(slim, min_words))
-    lines = with_words(slim, lines_with_partners(first))
-    near = lines.join(later_near_lines(lines), "line_id", "left_semi").select("doc_id", "text_key1", "text_key2", "line_no")
-    kept = first.select("place.*").alias("f").join(near.alias("n"), _same_text("f", "n") & (F.col("f.line_no") == F.col("n.line_no")), "left_anti")
+    with scratch(docs.sparkSession):
+        first = staged(earliest_lines(slim, min_words))
+        lines = with_words(slim, lines_with_partners(first))
+        near = lines.join(later_near_lines(lines), "line_id", "left_semi").select("doc_id", "text_key1", "text_key2", "line_no")
+        kept = first.select("place.*").alias("f").join(near.alias("n"), _same_text("f", "n") & (F.col("f.line_no") == F.col("n.line_no")), "left_anti")
+        kept = staged(kept.groupBy("doc_id", "text_key1", "text_key2").agg(F.collect_set("line_no").alias("kept")), keep=True)
     return _with_kept_lines(docs, keyed, kept)
 
 
 def _with_kept_lines(docs: DataFrame, keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    kept = kept.groupBy("doc_id", "text_key1", "text_key2").agg(F.collect_set("line_no").alias("kept"))
     rows = keyed.alias("d").join(kept.alias("k"), _same_text("d", "k"), "left").select("d.*", F.coalesce("k.kept", F.array().cast("array<int>")).alias("kept"))
     rows = rows.withColumn("lines", split_lines(F.col("text")))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
