@@ -22,6 +22,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    spark.read.parquet(f"{sf}/region.parquet").groupBy("r_regionkey").count().collect()  # the session's start is not a query's time
     times = {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()
