@@ -27,7 +27,7 @@ NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 48, 32, 5, 0.02
 #: Vectors of a cell, and how many times vectors are dealt into cells.
 CELL, DEALS = 1024, 4
 #: Size of a query's pool, rounds of a search at most, nodes where foreign queries start.
-POOL, SEARCH_ROUNDS, ENTRIES = 48, 12, 32
+POOL, SEARCH_ROUNDS, ENTRIES = 64, 12, 32
 
 
 def sound_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
