@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import staged, text_key
+from .staging import scratch, staged, text_key
 from .text_arrays import WHITE_SPACE_WORDS, mix, shingles, slices, text_buffers, words
 
-#: n-grams of a block of a group (8 bytes each), and rows of an Arrow batch that carries sets.
-BLOCK_NGRAMS = 1 << 18
+#: n-grams of a block of a group (8 bytes each); a set counts as so many more, which bounds the sets of a block too.
+BLOCK_NGRAMS, SET_COST = 1 << 18, 300
 
 
 # ------------------------------------------------------------- candidate keys
@@ -54,8 +54,8 @@ def cut(percent: int, label: int) -> tuple[int, int, np.ndarray]:
         n = n * 100 // percent + 1
     largest = n * 100 // percent  # of class ``label``
     d = largest * (100 - percent) // percent
-    empty = math.exp(-percent * percent / (100 * (100 - percent)))
-    spare = 3 + math.ceil(2 * d * empty)
+    empty = (d + 1) * math.exp(-percent * percent / (100 * (100 - percent)))  # expected empty ranges of the smallest sets
+    spare = max(1, math.ceil(empty + 4 * math.sqrt(empty)))
     ranges = d + 1 + spare
     return d, spare, np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
 
@@ -101,8 +101,8 @@ def _set_key(ngrams: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int((b + np.uint64(len(ngrams))).view(np.int64))
 
 
-def sets_with_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, text_key1, text_key2, n, set1, set2, keys) for each document."""
+def sets_with_keys(docs: DataFrame, size: int, percent: int | None) -> DataFrame:
+    """(doc_id, text_key1, text_key2, n, set1, set2, keys) for each document; no keys without a similarity."""
     schema = "doc_id bigint, text_key1 bigint, text_key2 bigint, n bigint, set1 bigint, set2 bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def sets_with_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 one.append(a)
                 two.append(b)
-                keys.append(candidate_keys(s, percent))
+                keys.append(candidate_keys(s, percent) if percent else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                                              names=["doc_id", "text_key1", "text_key2", "n", "set1", "set2", "keys"])
 
@@ -273,33 +273,60 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
+#: Bits of the filter that keys pass before they are joined: 8 MiB at every size of the input. When it fills up at very
+#: large inputs it lets more keys through, and the join still decides.
+FILTER_BITS = 1 << 26
+
+
+def _maybe_shared(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(set_id, key) of the keys whose bit is set by a shared key."""
+    slot = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1
+    bits = shared.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    parts = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most FILTER_BITS bits
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        at = (r.bucket - 1) * len(r.bits)
+        table[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            owner = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().fill_null(0).to_numpy())
+            key = batch.column(1).flatten().to_numpy()
+            at = np.mod(key, FILTER_BITS)
+            keep = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(key[keep])], names=["set_id", "key"])
+
+    return sets.select("set_id", "keys").mapInArrow(run, "set_id bigint, key bigint")
+
+
 def candidate_groups(sets: DataFrame, block_ngrams: int) -> DataFrame:
     """Members (group, set_id, hub) of groups in which every two sets that share a key meet."""
-    keys = sets.select("set_id", F.explode("keys").alias("key"))
+    keys = sets.select(F.explode("keys").alias("key"))
     shared = staged(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    members = staged(keys.join(shared, "key"))
+    members = staged(_maybe_shared(sets, shared).join(shared, "key"))
     seal = F.bit_xor(F.xxhash64("set_id")).alias("seal")
     groups = members.groupBy("key").agg(F.count("*").alias("n"), seal, F.min("set_id").alias("hub"), F.max("set_id").alias("last"))
     groups = groups.groupBy("n", "seal", "hub", "last").agg(F.min("key").alias("key"))
     groups = staged(members.join(groups.select("key", "hub"), "key").select(F.col("key").alias("group"), "set_id", "hub"))
     merged = components(groups.select(F.col("hub").alias("a"), F.col("set_id").alias("b")))
     merged = staged(merged.join(sets.select(F.col("set_id").alias("node"), "n"), "node"))
-    fits = staged(merged.groupBy("component").agg(F.sum("n").alias("total")).filter(F.col("total") <= block_ngrams).select("component"))
+    fits = staged(merged.groupBy("component").agg(F.sum(F.col("n") + SET_COST).alias("total")).filter(F.col("total") <= block_ngrams).select("component"))
     whole = merged.join(fits, "component").select(F.col("component").alias("group"), F.col("node").alias("set_id"), F.col("component").alias("hub"))
     rest = merged.join(fits, "component", "left_anti").select(F.col("node").alias("set_id"))
     return whole.unionByName(groups.join(rest, "set_id", "left_semi"))
 
 
-def links_between_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
-    """Links (a, b) of set_ids that connect all similar sets. ``sets``: set_id, doc_id, text_key1/2 (of one of its documents), n, keys."""
-    groups = staged(candidate_groups(sets, block_ngrams))
+def links_between_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+    """Links (a, b) of set_ids that connect all similar sets. ``sets``: set_id, doc_id, text_key1/2 (of one of its documents), n."""
     wanted = groups.select("set_id").distinct().join(sets.select("set_id", "doc_id", "text_key1", "text_key2"), "set_id").alias("w")
     keyed = docs.select("doc_id", "text", *text_key()).alias("d")
     same = (F.col("d.text_key1") == F.col("w.text_key1")) & (F.col("d.text_key2") == F.col("w.text_key2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
     texts = keyed.join(wanted, same).select("w.set_id", "d.text").dropDuplicates(["set_id"])
     ngrams = staged(sets_of(texts, size))
     sizes = groups.join(sets.select("set_id", "n"), "set_id")
-    blocks = sizes.groupBy("group").agg(F.ceil(F.sum("n") / block_ngrams).alias("blocks"))
+    blocks = sizes.groupBy("group").agg(F.ceil(F.sum(F.col("n") + SET_COST) / block_ngrams).alias("blocks"))
     placed = groups.join(blocks, "group").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("set_id"), F.col("blocks"))))
     hubs = placed.filter("blocks > 1").select("group", F.col("hub").alias("set_id"), "hub", "blocks", "block").distinct()
     placed = staged(placed.unionByName(hubs).distinct())
@@ -330,15 +357,30 @@ def similarity_components(docs: DataFrame, size: int, percent: int, block_ngrams
     and white-space texts have no n-gram, no link, and their own doc_id. A null doc_id counts as larger than every id and
     never names a component that has another id. Repeated rows are equal texts, hence linked. Other columns are unused.
     """
-    rows = staged(sets_with_keys(docs, size, percent))
+    rows = staged(sets_with_keys(docs, size, None).drop("keys"))
+    with scratch(docs.sparkSession):
+        per_set = staged(_components_of_sets(docs, size, percent, block_ngrams), keep=True)
+    out = rows.select("doc_id", "text_key1", "text_key2", F.col("n").alias("n_shingles"), "set1", "set2")
+    out = out.filter("n_shingles > 0").join(per_set, ["set1", "set2"]).unionByName(out.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "text_key1", "text_key2", "n_shingles", "component_id")
+
+
+def _sets_and_groups(docs: DataFrame, size: int, percent: int, block_ngrams: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets and their candidate groups; the keys, the largest table of the join, go with the caller's scratch."""
+    rows = sets_with_keys(docs, size, percent)
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key1", "text_key2")
     sets = rows.filter("n > 0").groupBy("set1", "set2").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     sets = staged(sets.select("set1", "set2", "n", "keys", "one.doc_id", "one.text_key1", "one.text_key2").withColumn("set_id", F.monotonically_increasing_id()))
-    known = staged(components(links_between_sets(docs, sets, size, percent, block_ngrams)))
+    return staged(sets.drop("keys"), keep=True), staged(candidate_groups(sets, block_ngrams), keep=True)
+
+
+def _components_of_sets(docs: DataFrame, size: int, percent: int, block_ngrams: int) -> DataFrame:
+    """(set1, set2, component_id) of each distinct set."""
+    with scratch(docs.sparkSession):
+        sets, groups = _sets_and_groups(docs, size, percent, block_ngrams)
+    with scratch(docs.sparkSession):
+        known = staged(components(links_between_sets(docs, sets, groups, size, percent, block_ngrams)), keep=True)
     named = sets.join(known.withColumnRenamed("node", "set_id"), "set_id")
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(ids, "component").select("set1", "set2", "component_id")
-    per_set = sets.select("set1", "set2", "doc_id").join(linked, ["set1", "set2"], "left").select("set1", "set2", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "text_key1", "text_key2", F.col("n").alias("n_shingles"), "set1", "set2")
-    out = out.filter("n_shingles > 0").join(per_set, ["set1", "set2"]).unionByName(out.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", "text_key1", "text_key2", "n_shingles", "component_id")
+    return sets.select("set1", "set2", "doc_id").join(linked, ["set1", "set2"], "left").select("set1", "set2", F.coalesce("component_id", "doc_id").alias("component_id"))

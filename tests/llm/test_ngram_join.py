@@ -46,7 +46,7 @@ def copies(seed, n, words, edits):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 1 << 20), (3, 90, 200), (5, 80, 1 << 20), (1, 80, 300)])
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 1 << 20), (3, 90, 5000), (5, 80, 1 << 20), (1, 80, 4000)])
 def test_against_all_pairs(spark, size, percent, block):
     rows = copies(size + percent, 70, [1, 4, 12, 40, 120, 200], 5)
     assert got(spark, rows, size, percent, block_ngrams=block) == brute(rows, size, percent)
