@@ -29,9 +29,13 @@ TITLES = {
 #: Titles that follow a name. Fixed values.
 TITLES_AFTER = {"先生": "m", "女士": "f", "小姐": "f"}
 
+#: What follows the name of a key: a closing quote (JSON, also escaped) and the sign before its value.
+AFTER_KEY = r"\\*+[\"']?\s*+[=:]\s*+"
+#: A secret's key may be part of a longer name (aws_secret_access_key, clientSecret, x-api-key), but not the start of a longer word (tokenizer).
 PATTERN = regex.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?:(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd))\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{16,})(?![A-Za-z0-9_+/=-]))"
+    r"|(?:(?<![\w-])(?=[\w-]++" + AFTER_KEY + r")(?>[\w-]*?(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd)s?(?:[_\-0-9A-Z][\w-]*+)?(?![\w-]))"
+    + AFTER_KEY + r"\\*+[\"']?(?P<secret>(?=[_+/=-]*[A-Za-z0-9])[A-Za-z0-9_+/=-]{16,})(?![A-Za-z0-9_+/=-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w])(?!\.\d))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w))"
@@ -40,8 +44,8 @@ PATTERN = regex.compile(
     r"|(?:\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ \u00a0](?P<person>\p{Lu}[\p{L}\p{M}'’-]+(?:[ \u00a0]\p{Lu}[\p{L}\p{M}'’-]+){0,2}))"
     r"|(?P<named>\p{Han}{2,3})(?P<after>" + "|".join(TITLES_AFTER) + ")"
 )
-#: A text without any of these has no entity.
-HINT = regex.compile(r"[0-9@]|\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b|" + "|".join(TITLES_AFTER))
+#: A text without any of these has no entity: every branch of PATTERN needs a digit of any script, an @, the word of a key or a title.
+HINT = regex.compile(r"[\d@]|(?i:key|secret|token|passw)|\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b|" + "|".join(TITLES_AFTER))
 
 
 @dataclass(frozen=True)

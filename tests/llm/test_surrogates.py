@@ -27,6 +27,33 @@ def test_names_keep_gender_script_and_coreference():
     assert sg.script_of(new[new.index("先生") - 1]) == "cjk" and words[1][0].isupper()
 
 
+@pytest.mark.parametrize(("text", "secret"), [
+    ("password: correcthorsebatterystaple", "correcthorsebatterystaple"),
+    ("API_KEY=AbCdEfGhIjKlMnOpQrSt", "AbCdEfGhIjKlMnOpQrSt"),
+    ('{"token": "AbCdEfGhIjKlMnOpQrSt"}', "AbCdEfGhIjKlMnOpQrSt"),
+    (r'{\"accessToken\": \"AbCdEfGhIjKlMnOpQrSt\"}', "AbCdEfGhIjKlMnOpQrSt"),
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ("secret_key: 'AbCdEfGhIjKlMnOpQrSt'", "AbCdEfGhIjKlMnOpQrSt"),
+    ("x-api-key: AbCdEfGhIjKlMnOpQrSt", "AbCdEfGhIjKlMnOpQrSt"),
+])
+def test_secrets_of_letters_and_in_longer_names(text, secret):
+    assert kinds(text) == [("secret", secret)]
+    new, n = sg.rewritten(text, KEY, {})
+    assert n == 1 and secret not in new and [k for k, _ in kinds(new)] == ["secret"]
+
+
+def test_no_secret_in_longer_words_or_rules():
+    assert kinds("tokenizer: AbCdEfGhIjKlMnOpQrSt, secretary: AbCdEfGhIjKlMnOpQrSt, Password\n====================\n") == []
+
+
+def test_the_hint_loses_nothing(monkeypatch):
+    pieces = ["password: correcthorsebatterystaple", "TOKEN='AbCdEfGhIjKlMnOpQrSt'", "call ٧٤٣-٥٥٥-٣٨٢٤", "from ८.१९६.१९७.२०८", "a.b@x.org", "Mrs Anna Smith", "王小明先生", "4111 1111 1111 1111", "no data", ""]
+    found = [sg.mentions(t) for t in pieces]
+    monkeypatch.setattr(sg, "HINT", sg.regex.compile(""))
+    assert found == [sg.mentions(t) for t in pieces]
+    assert [len(x) for x in found] == [1, 1, 1, 1, 1, 2, 1, 1, 0, 0]
+
+
 @pytest.mark.parametrize(("surface", "kind"), [("+1 (743) 555-3824", "phone"), ("4111-1111-1111-1111", "card"), ("10.1.2.3", "ip"), ("DE89370400440532013000", "iban"), ("A.B9@X.org", "email")])
 def test_surrogates_keep_their_format(surface, kind):
     new, n = sg.rewritten(f"x {surface} y", KEY, {})
