@@ -34,17 +34,22 @@ def _directory(rows: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
     return fine.select("above", "prefix").join(found, ["above", "prefix"], "left")
 
 
-def assign_shards(df: DataFrame, limit: int, size: Column, identity: list[str]) -> DataFrame:
-    """``identity`` columns, bytes, shard (its bits as text), depth for each row of ``df``.
+def assign_shards(df: DataFrame, limit: int, size: Column, identity: list[str], carry: list[str] | None = None) -> DataFrame:
+    """``identity`` and ``carry`` columns, bytes, shard (its bits as text), depth for each row of ``df``.
 
     A bucket splits on its next bit while it holds more than ``limit`` bytes in more than one row, so every shard holds at
     most ``limit`` bytes, but for a single larger row. Bits come from the content of ``identity``; rows that agree in it
     split on further bits from a number of their own, so repeated rows and null keys do not make a shard too large.
-    A null size counts as 0 bytes. An empty table gives no shard. ``df`` needs no other column; clashing names are unused.
+    A null size counts as 0 bytes. An empty table gives no shard. ``df`` needs no other column; clashing names are unused,
+    and refused in ``identity`` and ``carry``. ``carry`` takes the columns along that ``write_shards`` is to write.
     """
-    rows = df.select(*identity, F.coalesce(size, F.lit(0)).cast("bigint").alias("_bytes"), content_bits(*identity).alias("_first"))
+    columns = list(dict.fromkeys([*identity, *(carry or [])]))
+    clash = {"bytes", "shard", "depth"} & {c.lower() for c in columns}
+    if clash:
+        raise ValueError(f"columns named as those of the assignment: {sorted(clash)}")
+    rows = df.select(*columns, F.coalesce(size, F.lit(0)).cast("bigint").alias("_bytes"), content_bits(*identity).alias("_first"))
     rows = rows.withColumn("_second", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - WORD_BITS))
-    return shards_of(staged(rows.select(F.struct(*identity).alias("row"), F.col("_bytes").alias("bytes"), F.col("_first").alias("first"), F.col("_second").alias("second"))), limit).select(
+    return shards_of(staged(rows.select(F.struct(*columns).alias("row"), F.col("_bytes").alias("bytes"), F.col("_first").alias("first"), F.col("_second").alias("second"))), limit).select(
         "row.*", "bytes", "shard", "depth")
 
 
@@ -81,5 +86,12 @@ def shards_of(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, shards: DataFrame, keys: list[str], path: str) -> None:
-    """Write the rows of ``df`` below ``path``, one folder ``shard=b<bits>`` for each shard; a task writes whole shards, each of bounded size."""
-    df.join(shards.select(*keys, F.concat(F.lit("b"), "shard").alias("shard")), keys).repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of ``df`` below ``path``, one folder ``shard=b<bits>`` for each shard; a task writes whole shards, each of bounded size.
+
+    ``shards`` is the assignment of ``df`` and has all its columns (``carry``): its rows are written as they are, with no
+    join back, so rows with null or repeated ``keys`` are written once each and in the shard that counted them.
+    """
+    missing = [c for c in dict.fromkeys([*keys, *df.columns]) if c not in shards.columns]
+    if missing:
+        raise ValueError(f"the assignment does not carry {missing}")
+    shards.select(*df.columns, F.concat(F.lit("b"), "shard").alias("shard")).repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +48,22 @@ def test_written_folders(spark, tmp_path):
     write_shards(df, shards, ["doc_id"], str(tmp_path / "out"))
     back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).filter("b > 300").count() == 0
+
+
+@pytest.mark.parametrize("identity", [["doc_id", "text"], ["doc_id"]])
+def test_written_rows_with_null_and_repeated_keys(spark, tmp_path, identity):
+    rows = [(None, "abcd")] * 100 + [(None, None)] * 3 + [(7, "efgh")] * 50 + [(7, "other")] + [(i, "x" * (i % 9)) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = assign_shards(df, 40, F.octet_length("text"), identity, **({} if "text" in identity else {"carry": df.columns}))
+    write_shards(df, shards, ["doc_id"], str(tmp_path / "out"))
+    back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).filter("b > 40").count() == 0
+
+
+def test_writer_and_assignment_refuse_what_they_would_lose(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ab", "c")], "doc_id long, text string, shard string")
+    with pytest.raises(ValueError, match="does not carry"):
+        write_shards(df.drop("shard"), assign_shards(df, 40, F.octet_length("text"), ["doc_id"]), ["doc_id"], str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="shard"):
+        assign_shards(df, 40, F.octet_length("text"), ["doc_id"], carry=df.columns)
