@@ -238,6 +238,25 @@ def plausibility_table(shares: DataFrame, signs: DataFrame, stable: DataFrame, l
     )
 
 
+def importance_by_life_group(
+    preds: DataFrame, phi: DataFrame, train: DataFrame, key: str, run: Sequence[str] = (), y: str = "y_true", p: str = "y_pred", train_y: str = "y_true", k: int = 5
+) -> DataFrame:
+    """n, RMSE, MAE, Bias and the k features of largest mean |phi| for each run and life group with predictions.
+
+    ``preds`` has one row and ``phi`` one row per feature for each run and entity; groups are cut at the tertiles of the
+    training labels, which the columns edge_low and edge_high hold. Entities without phi count in the errors alone.
+    """
+    from .metrics import life_group, tertile_edges
+
+    by = [*run, "life_group", "edge_low", "edge_high"]
+    rows = preds.crossJoin(F.broadcast(tertile_edges(train, train_y))).withColumn("life_group", life_group(y))
+    e = F.col(p) - F.col(y)
+    errors = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"), F.avg(e).alias("Bias"))
+    grouped = phi.join(rows.select(*run, key, "life_group"), [*run, key])
+    top = top_k_text(global_importance(grouped, [*run, "life_group"]), [*run, "life_group"], k)
+    return errors.join(top, [*run, "life_group"], "left")
+
+
 def local_cases(preds: DataFrame, phi: DataFrame, key: str, y: str = "y_true", p: str = "y_pred", k: int = 8) -> DataFrame:
     """Four telling entities with their largest contributions as JSON.
 

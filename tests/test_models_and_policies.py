@@ -274,3 +274,21 @@ def test_catalog_is_consistent():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 130 and len(o) > 115
+
+
+def test_importance_by_life_group(spark):
+    rng = np.random.default_rng(3)
+    truth, pred = rng.uniform(300, 2000, 40), rng.uniform(300, 2000, 40)
+    phi = rng.normal(size=(40, 4)) * [1, 2, 3, 0.5]
+    preds = spark.createDataFrame([("m", i, float(truth[i]), float(pred[i])) for i in range(40)], "model string, cell_id long, y_true double, y_pred double")
+    long = spark.createDataFrame([("m", i, f"f{j}", float(phi[i, j])) for i in range(40) for j in range(4) if i], "model string, cell_id long, feature string, phi double")
+    train = spark.createDataFrame([(float(x),) for x in range(400, 1900, 7)], "y_true double")
+    lo, hi = np.quantile(np.arange(400, 1900, 7), [1 / 3, 2 / 3])
+    out = {r.life_group: r for r in at.importance_by_life_group(preds, long, train, "cell_id", ["model"], k=2).collect()}
+    masks = {"short": truth <= lo, "medium": (truth > lo) & (truth <= hi), "long": truth > hi}
+    assert set(out) == set(masks)
+    for g, m in masks.items():
+        e, r = (pred - truth)[m], out[g]
+        assert r.n == m.sum() and np.allclose([r.RMSE, r.MAE, r.Bias], [np.sqrt(np.mean(e**2)), np.mean(np.abs(e)), np.mean(e)])
+        order = np.argsort(-np.abs(phi[m & (np.arange(40) > 0)]).mean(0))[:2]
+        assert r.top == ", ".join(f"f{j}" for j in order) and np.allclose([r.edge_low, r.edge_high], [lo, hi])
