@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, extendible_shards, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
+from . import byte_bpe, decontaminate, extendible_shards, hard_negatives, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
 from .staging import shared_folder
 
 
@@ -181,6 +181,32 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+# ------------------------------------------------------------- 11: hard negatives
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard)}
-ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL}
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives at most for each of the five positives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+NEGATIVE_SQL = """WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard, op11_hard_negatives)}
+ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL, "op11_hard_negatives": NEGATIVE_SQL}
