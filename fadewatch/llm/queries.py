@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, extendible_shards, hard_negatives, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
+from . import byte_bpe, conversation_repair, decontaminate, extendible_shards, hard_negatives, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
 from .staging import shared_folder
 
 
@@ -207,6 +207,86 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY rank <= 10"""
 
-
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard, op11_hard_negatives)}
-ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL, "op11_hard_negatives": NEGATIVE_SQL}
+# ------------------------------------------------------------- 13: conversations
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows after the damage of the contract, chosen by a checksum of ``conv_id:turn``; nulls are one space."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = (F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20).alias("kind")
+    rows = conversations.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), kind).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every conversation, after the damage of the contract."""
+    given = table(spark, sf_dir, "conversations")
+    repaired, audits, reports = conversation_repair.repair(damaged(given))
+    parts = audits.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("block", "audit"))).alias("parts"))
+    whole = parts.select(F.col("conv").alias("c1"), F.array_join("parts.audit", "").alias("audit"))
+    digests = conversation_repair.digests(repaired).withColumnRenamed("conv", "c2")
+    ids = given.select("conv_id").distinct()
+    found = ids.join(reports, F.expr("conv_id <=> conv"), "left").join(whole, F.expr("conv_id <=> c1"), "left").join(digests, F.expr("conv_id <=> c2"), "left")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select("conv_id", *(F.coalesce(c, none.get(c, F.lit(0).cast("bigint"))).alias(c) for c in [*counts, *none]))
+
+
+REPAIR_SQL = r"""WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM conversations),
+hit AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295) % 20 AS kind FROM keyed, crc),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM hit, range(1, 3) r(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, e' 	
+') AS trimmed FROM rows),
+faulty AS (
+  SELECT *, CASE WHEN ltrim(trimmed, e' 	
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({'role': role, 'text': text, 'fault': fault} ORDER BY i) AS rows FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0 AS i, rows, [{'cost': 0, 'audit': '', 'g': '', 'out': CAST([] AS VARCHAR[])}] AS best FROM convs
+  UNION ALL
+  SELECT conv_id, i + 1, rows, list_filter(list_transform(['', 's', 'u', 'a'], lambda g: list_sort(list_filter(cand, lambda x: x.g = g))[1]), lambda x: x IS NOT NULL)
+  FROM (
+    SELECT w.*, list_filter(list_concat(
+      list_transform(ins, lambda x: {'cost': x.cost + 3, 'audit': x.audit || 'D', 'g': x.g, 'out': x.out}),
+      CASE WHEN r.fault IN ('blank', 'duplicate') THEN [] ELSE list_concat(
+        list_transform(list_filter(ins, lambda x: (x.g || r.role[1]) IN ('s', 'u', 'su', 'ua', 'au')),
+          lambda x: {'cost': x.cost + t, 'audit': x.audit || 'K', 'g': r.role[1], 'out': list_append(x.out, r.role || ':' || r.text)}),
+        list_transform(ins, lambda x: {'cost': x.cost + 2 + t, 'audit': x.audit || 'R', 'g': CASE WHEN x.g = 'u' THEN 'a' ELSE 'u' END,
+          'out': list_append(x.out, CASE WHEN x.g = 'u' THEN 'assistant:' ELSE 'user:' END || r.text)})) END), lambda x: true) AS cand
+    FROM (
+      SELECT w.*, rows[i + 1] AS r, CASE WHEN rows[i + 1].fault = 'truncated' THEN 1 ELSE 0 END AS t, flatten(list_transform(best, lambda x: list_transform(range(4), lambda k: {
+        'cost': CAST(x.cost + 2 * k AS INTEGER), 'audit': x.audit || repeat('I', k), 'g': CASE WHEN k = 0 THEN x.g WHEN (x.g = 'u') = (k % 2 = 1) THEN 'a' ELSE 'u' END,
+        'out': list_concat(x.out, list_transform(range(k), lambda j: CASE WHEN (x.g = 'u') = (j % 2 = 0) THEN 'assistant:' ELSE 'user:' END))}))) AS ins
+      FROM walk w WHERE i < len(rows)) w)),
+ended AS (
+  SELECT conv_id, list_sort(list_transform(list_filter(best, lambda x: true), lambda x: {
+    'cost': x.cost + CASE x.g WHEN 'u' THEN 2 WHEN 's' THEN 4 ELSE 0 END, 'audit': x.audit || CASE x.g WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+    'out': list_concat(x.out, CASE x.g WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END)}))[1] AS b FROM walk WHERE i = len(rows))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(b.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard, op11_hard_negatives, op13_conversation_repair)}
+ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL, "op11_hard_negatives": NEGATIVE_SQL, "op13_conversation_repair": REPAIR_SQL}
