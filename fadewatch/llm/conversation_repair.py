@@ -8,21 +8,22 @@ A node of the search is (rows done, state), where the state is the initial of th
 explicit stack and expands a node's edits in ASCII order, so that prefixes come up in the order of their audits. Therefore
 * a prefix that reaches a node for the price of an earlier prefix, or more, cannot win: the table of each node's least
   price eliminates it;
-* once an audit of the incumbent's price is found, only cheaper ones matter; before that, equal ones do. A greedy repair
-  gives the first incumbent price.
-The suffix bound of a node adds the forced deletions and truncations that remain to the number of adjacent roles that do
-not fit: an edit costs 2 or more beyond those, and a role takes part in two adjacencies, an inserted row mends one.
+* once an audit of the incumbent's price is found, only cheaper ones matter; before that, equal ones do.
+The suffix bounds are prices alone, from one backward pass over the four states. They are attained, so the incumbent's price
+is known from the start, the search only tells audits of that price apart, and its work is linear in the rows. (A looser
+bound, the number of neighbours that do not fit, left the search as many prices as rows at each node.)
 An insertion straight before a Delete is never needed (the same rows with the Delete first read ASCII-less), nor are two
 insertions in a row but at the end (a second one leads back to a state from which the next row fits no better).
 
 A conversation may be of any length: rows are ordered by a range shuffle that splits conversations, and searched in blocks
 of at most BLOCK_ROWS places, once for each pair of states before and after the block. The blocks of a conversation are
-then put together by the same search, whose edits are whole blocks and whose suffix bounds are exact.
+then put together by the same search, whose edits are whole blocks.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,66 +45,49 @@ WHITE = " \t\n\x0b\x0c\r"
 Option = tuple[str, str, int]
 
 
-def search(n: int, start: str, options: Callable[[int, str], Sequence[Option]], bound: Callable[[int, str], int], close: dict[str, str]) -> tuple[int, list[Option]] | None:
+def search(n: int, start: str, options: Callable[[int, str], Sequence[Option]], close: dict[str, str]) -> tuple[int, list[Option]] | None:
     """The cheapest, then ASCII-least way through ``n`` steps from ``start`` to a state of ``close``.
 
     ``options(i, state)`` lists (letters, next state, price) in ASCII order of the letters, none of which begins another.
     Returns the price, the closing insertions included, and the options taken; None if no way leads there.
     """
-    state, price, best = start, 0, float("inf")
-    for i in range(n):  # greedy: the step whose price and bound are least
-        step = min(options(i, state), key=lambda o: o[2] + bound(i + 1, o[1]), default=None)
-        if step is None:
-            break
-        state, price = step[1], price + step[2]
-    else:
-        best = price + INSERT * len(close[state]) if state in close else best
-    won, least = None, [{} for _ in range(n + 1)]
+    bound: list[dict[str, int]] = [{} for _ in range(n)] + [{state: INSERT * len(rows) for state, rows in close.items()}]
+    for i in range(n - 1, -1, -1):
+        for state in FOLLOW:
+            prices = [price + bound[i + 1][after] for _, after, price in options(i, state) if after in bound[i + 1]]
+            if prices:
+                bound[i][state] = min(prices)
+    if start not in bound[0]:
+        return None
+    best, won = bound[0][start], None  # the incumbent's price; the bound is attained, so it is the root's
+    least: list[dict[str, int]] = [{} for _ in range(n + 1)]
     stack: list[tuple[int, str, int, object]] = [(0, start, 0, None)]
     while stack:
         i, state, price, way = stack.pop()
-        lowest = price + bound(i, state)
+        lowest = price + bound[i].get(state, 1 << 62)
         if lowest > best or (won is not None and lowest == best) or least[i].get(state, price + 1) <= price:
             continue
         least[i][state] = price
         if i == n:
-            total = price + INSERT * len(close.get(state, ""))
-            if state in close and (total < best or (won is None and total == best)):
-                best, won = total, (way,)
+            best, won = lowest, (way,)
             continue
         for option in reversed(options(i, state)):
             stack.append((i + 1, option[1], price + option[2], (option, way)))
-    if won is None:
-        return None
     taken, way = [], won[0]
     while way is not None:
         taken.append(way[0])
         way = way[1]
-    return int(best), taken[::-1]
+    return best, taken[::-1]
 
 
 def repair_rows(rows: list[tuple[str, str]], start: str = "", close: dict[str, str] = CLOSE) -> tuple[int, list[Option]] | None:
     """Search over rows (initial of the role, fault: blank, duplicate, truncated or empty)."""
-    n = len(rows)
-    forced = [fault in ("blank", "duplicate") for _, fault in rows]
-    fixed, first = [0] * (n + 1), [None] * (n + 1)  # price of what remains for sure; the initial of the next row that may stay
-    for i in range(n - 1, -1, -1):
-        initial, fault = rows[i]
-        if forced[i]:
-            fixed[i], first[i] = fixed[i + 1] + DELETE, first[i + 1]
-        else:
-            fits = (initial in close and not close[initial]) if first[i + 1] is None else first[i + 1] in FOLLOW.get(initial, "")
-            fixed[i], first[i] = fixed[i + 1] + TRUNCATED * (fault == "truncated") + (not fits), initial or " "
 
-    def bound(i: int, state: str) -> int:
-        fits = (state in close and not close[state]) if first[i] is None else first[i] in FOLLOW[state]
-        return fixed[i] + (not fits)
-
-    def options(i: int, state: str) -> list[Option]:
+    @lru_cache(maxsize=None)
+    def edits(initial: str, fault: str, state: str) -> list[Option]:
         out = [("D", state, DELETE)]
-        if not forced[i]:
-            initial, more = rows[i][0] or " ", TRUNCATED * (rows[i][1] == "truncated")
-            after = NEXT[state]
+        if fault not in ("blank", "duplicate"):
+            more, after = TRUNCATED * (fault == "truncated"), NEXT[state]
             if initial in FOLLOW[after]:
                 out.append(("IK", initial, INSERT + more))
             out.append(("IR", NEXT[after], INSERT + RETYPE + more))
@@ -112,7 +96,7 @@ def repair_rows(rows: list[tuple[str, str]], start: str = "", close: dict[str, s
             out.append(("R", after, RETYPE + more))
         return out
 
-    return search(n, start, options, bound, close)
+    return search(len(rows), start, lambda i, state: edits(rows[i][0] or " ", rows[i][1], state), close)
 
 
 # ------------------------------------------------------------- rows, blocks, conversations
@@ -191,17 +175,10 @@ def _solve_block(items: list[dict]) -> tuple:
 
 def _join_blocks(blocks: list[dict]) -> tuple[int, int, list[dict]]:
     """Price, illegal pairs at the borders, and the way through each block (its place among the block's ways)."""
-    n = len(blocks)
-    togo: list[dict[str, int]] = [{} for _ in range(n)] + [dict.fromkeys(FOLLOW, 0)]
-    for i in range(n - 1, -1, -1):
-        for e in blocks[i]["edges"]:
-            if e["after"] in togo[i + 1]:
-                togo[i][e["before"]] = min(togo[i].get(e["before"], 1 << 62), e["price"] + togo[i + 1][e["after"]])
-
     def options(i: int, state: str) -> list[Option]:
         return [(f"{k:02d}", e["after"], e["price"]) for k, e in enumerate(blocks[i]["edges"]) if e["before"] == state]
 
-    price, taken = search(n, "", options, lambda i, state: togo[i].get(state, 1 << 62), dict.fromkeys(FOLLOW, ""))
+    price, taken = search(len(blocks), "", options, dict.fromkeys(FOLLOW, ""))
     befores = ["", *(after for _, after, _ in taken)]
     chosen = [{"block": b["block"], "before": befores[k], "way": int(taken[k][0])} for k, b in enumerate(blocks)]
     return price, sum(_legal([a["tail"], b["head"]]) for a, b in zip(blocks, blocks[1:], strict=False)), chosen
@@ -209,12 +186,11 @@ def _join_blocks(blocks: list[dict]) -> tuple[int, int, list[dict]]:
 
 def _edits(places: list[int], initials: list[str], state: str, audit: str) -> tuple[list[dict]]:
     """The rows that an audit puts out: place, order at the place, new role (null: the row's own), inserted."""
-    out, j = [], 0
+    out, j, closing = [], 0, 0
     for letter in audit:
         if letter == "I":
-            state = NEXT[state]
-            nth = -1 if j < len(places) else 1 + sum(x["place"] == places[-1] and x["nth"] > 0 for x in out[-1:]) * out[-1]["nth"]
-            out.append({"place": places[min(j, len(places) - 1)], "nth": nth, "role": ROLE[state], "inserted": True})
+            state, closing = NEXT[state], closing + (j == len(places))
+            out.append({"place": places[min(j, len(places) - 1)], "nth": closing or -1, "role": ROLE[state], "inserted": True})
             continue
         if letter != "D":
             state = initials[j] if letter == "K" else NEXT[state]
