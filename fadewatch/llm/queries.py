@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, decontaminate, extendible_shards, hard_negatives, line_dedup, line_quality, neighbour_graph, ngram_join, surrogates, token_counts, url_filter
+from . import byte_bpe, conversation_repair, decontaminate, extendible_shards, hard_negatives, line_dedup, line_quality, neighbour_graph, ngram_join, suffix_dedup, surrogates, token_counts, url_filter
 from .staging import shared_folder
 
 
@@ -207,6 +207,26 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY rank <= 10"""
 
+# ------------------------------------------------------------- 12: repeated byte strings
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the 100-byte strings that also start earlier in the corpus."""
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SUFFIX_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, p, row_number() OVER (PARTITION BY b[p:p + 99] ORDER BY doc_id, p) AS nth FROM d, LATERAL (SELECT unnest(range(1, n - 98)) AS p) u),
+later AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM strings WHERE nth > 1),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM later),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS e FROM numbered GROUP BY doc_id, span),
+listed AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, list_concat([1], list(e ORDER BY a)) AS begins, list(a ORDER BY a) AS ends FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(1, n_spans + 2), lambda k: hex(b[begins[k]:coalesce(ends[k], n + 1) - 1])), '')) END) AS kept_sha256
+FROM d LEFT JOIN listed USING (doc_id)"""
+
 # ------------------------------------------------------------- 13: conversations
 
 
@@ -250,10 +270,12 @@ rows AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
     rtrim(text, e' 	
-') AS trimmed FROM rows),
+
+') AS trimmed FROM rows),
 faulty AS (
   SELECT *, CASE WHEN ltrim(trimmed, e' 	
-') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
     WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
 convs AS (
@@ -288,5 +310,5 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard, op11_hard_negatives, op13_conversation_repair)}
-ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL, "op11_hard_negatives": NEGATIVE_SQL, "op13_conversation_repair": REPAIR_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_simhash_decontamination, op3_byte_bpe, op4_token_counts, op5_extendible_shards, op6_line_dedup, op7_url_filter, op8_line_quality, op9_neighbour_graph, op10_ngram_jaccard, op11_hard_negatives, op12_suffix_dedup, op13_conversation_repair)}
+ORACLES = {"op5_extendible_shards": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_url_filter": URL_SQL, "op10_ngram_jaccard": NGRAM_SQL, "op11_hard_negatives": NEGATIVE_SQL, "op12_suffix_dedup": SUFFIX_SQL, "op13_conversation_repair": REPAIR_SQL}
