@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .order_stats import _join, average_precision, quantiles, roc_auc, value_profile
-from .splits import bootstrap_interval, bootstrap_weights
+from .resampling import bootstrap_interval, weighted_sums
 
 EXACT_PAIRS = 50
 
@@ -68,13 +68,9 @@ def resampled_error(
     preds: DataFrame, key: str, by: Sequence[str], n_boot: int, seed: int, y: str = "y_true", p: str = "y_pred"
 ) -> DataFrame:
     """RMSE and MAE of every resample and group; all groups share the same draws of entities."""
-    w = bootstrap_weights(preds.select(key).distinct(), key, n_boot, seed)
     e = F.col(p) - F.col(y)
-    rows = preds.select(*by, key, (e * e).alias("__se"), F.abs(e).alias("__ae")).join(w, key)
-    return rows.groupBy("b", *by).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("__se")) / F.sum("w")).alias("RMSE"),
-        (F.sum(F.col("w") * F.col("__ae")) / F.sum("w")).alias("MAE"),
-    )
+    sums = weighted_sums(preds, by, key, {"__se": e * e, "__ae": F.abs(e)}, n_boot, seed)
+    return sums.select("b", *by, F.sqrt(F.try_divide("__se", "w")).alias("RMSE"), F.try_divide("__ae", "w").alias("MAE"))
 
 
 def bootstrap_metric_ci(
@@ -176,13 +172,9 @@ def paired_comparison(
         .agg((F.sqrt(F.avg("__sa")) - F.sqrt(F.avg("__sb"))).alias("dr"), (F.avg("__aa") - F.avg("__ab")).alias("dm"))
         .groupBy(*by).agg(F.avg("dr").alias("dRMSE"), F.avg("dm").alias("dMAE"))
     )
-    w = bootstrap_weights(rows.select(key).distinct(), key, n_boot, seed)
+    sums = weighted_sums(rows, [*by, seed_col], key, {"a": F.col("__sa"), "b2": F.col("__sb")}, n_boot, seed)
     boots = (
-        rows.join(w, key).groupBy("b", *by, seed_col)
-        .agg(
-            (F.sqrt(F.sum(F.col("w") * F.col("__sa")) / F.sum("w"))
-             - F.sqrt(F.sum(F.col("w") * F.col("__sb")) / F.sum("w"))).alias("d")
-        )
+        sums.select(*by, "b", (F.sqrt(F.try_divide("a", "w")) - F.sqrt(F.try_divide("b2", "w"))).alias("d"))
         .groupBy("b", *by).agg(F.avg("d").alias("d"))
         .groupBy(*by).agg(
             F.percentile("d", F.lit(0.025)).alias("dRMSE_lo"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .order_stats import conformal_quantile, levels, recall_cutoff
-from .splits import bootstrap_interval, bootstrap_weights
+from .resampling import bootstrap_interval, weighted_sums
 
 
 def policy_table(spark: SparkSession, policies: Mapping[str, Sequence[int]]) -> DataFrame:
@@ -83,26 +83,33 @@ def stop_decisions(sets: DataFrame, policies: DataFrame, by: Sequence[str] = (),
     ).withColumn("correct", (F.col("decision") == "FAIL") == F.col("early_failure"))
 
 
-def _summary(w: Column) -> dict[str, Column]:
-    """Policy measures as aggregates with integer multiplicity ``w``."""
-    total = lambda c: F.sum(w * c)
-    count = lambda c: F.sum(F.when(c, w).otherwise(F.lit(0)))
+def _counted() -> dict[str, Column]:
+    """What policy measures sum over decisions."""
     f = F.col("early_failure")
-    miss = (F.col("decision") == "PASS") & f
-    false = (F.col("decision") == "FAIL") & ~f
-    n = F.sum(w)
+    flags = {
+        "early": F.col("decided_early"), "wrong": ~F.col("correct"), "fails": f,
+        "miss": (F.col("decision") == "PASS") & f, "false": (F.col("decision") == "FAIL") & ~f,
+    }
+    return {"stop": F.col("stopped_at_cycle"), "life": F.col("true_life")} | {k: c.cast("int") for k, c in flags.items()}
+
+
+def _measures(w: Column, scale: Column) -> dict[str, Column]:
+    """Policy measures from the sums of ``w`` decisions; ``scale`` brings counts of a resample to the size of the data."""
+    per = lambda a, b: F.try_divide(F.col(a).cast("double"), b.cast("double"))
+    count = lambda c: (c * scale).cast("double")
+    fails = F.col("fails")
     return {
-        "avg_test_cycles": total(F.col("stopped_at_cycle")) / n,
-        "full_test_cycles": total(F.col("true_life")) / n,
-        "test_time_saved": F.lit(1.0) - total(F.col("stopped_at_cycle")) / total(F.col("true_life")),
-        "decided_early": count(F.col("decided_early")) / n,
-        "wrong_decisions": count(~F.col("correct")) / n,
-        "missed_failures": count(miss).cast("double"),
-        "false_failures": count(false).cast("double"),
-        "false_alarm_rate": count(false) / F.greatest(count(~f), F.lit(1)),
-        "missed_failure_rate": count(miss) / F.greatest(count(f), F.lit(1)),
-        "n_cells": n.cast("double"),
-        "n_failures": count(f).cast("double"),
+        "avg_test_cycles": per("stop", w),
+        "full_test_cycles": per("life", w),
+        "test_time_saved": F.lit(1.0) - per("stop", F.col("life")),
+        "decided_early": per("early", w),
+        "wrong_decisions": per("wrong", w),
+        "missed_failures": count(F.col("miss")),
+        "false_failures": count(F.col("false")),
+        "false_alarm_rate": per("false", F.greatest(w - fails, F.lit(1))),
+        "missed_failure_rate": per("miss", F.greatest(fails, F.lit(1))),
+        "n_cells": count(w),
+        "n_failures": count(fails),
     }
 
 
@@ -116,7 +123,9 @@ SUMMARY_NAMES = [
 def policy_summary(decisions: DataFrame, by: Sequence[str] = (), repeat: str | None = None) -> DataFrame:
     """Measures per policy and alpha; with ``repeat``, their mean over repeats."""
     group = [*by, "policy", "alpha"]
-    one = decisions.groupBy(*group, *([repeat] if repeat else [])).agg(*[e.alias(k) for k, e in _summary(F.lit(1)).items()])
+    inner = [*group, *([repeat] if repeat else [])]
+    sums = decisions.groupBy(*inner).agg(F.count("*").alias("w"), *[F.sum(c).alias(k) for k, c in _counted().items()])
+    one = sums.select(*inner, *[e.alias(k) for k, e in _measures(F.col("w"), F.lit(1)).items()])
     return one.groupBy(*group).agg(*[F.avg(k).alias(k) for k in SUMMARY_NAMES]) if repeat else one
 
 
@@ -127,9 +136,9 @@ def policy_summary_ci(decisions: DataFrame, by: Sequence[str] = (), key: str = "
     names = SUMMARY_NAMES
     entries = lambda: F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in names]))
     mean = policy_summary(decisions, by, repeat).select(*group, entries().alias("m")).select(*group, "m.metric", F.col("m.value").alias("mean"))
-    w = bootstrap_weights(decisions.select(key).distinct(), key, n_boot, seed)
+    sums = weighted_sums(decisions, [*group, repeat], key, _counted(), n_boot, seed)
     boots = (
-        decisions.join(w, key).groupBy("b", *group, repeat).agg(*[e.alias(k) for k, e in _summary(F.col("w")).items()])
+        sums.select("b", *group, *[e.alias(k) for k, e in _measures(F.col("w"), F.try_divide("n", "w")).items()])
         .groupBy("b", *group).agg(*[F.avg(k).alias(k) for k in names])
         .select(*group, entries().alias("m")).select(*group, "m.metric", "m.value")
     )

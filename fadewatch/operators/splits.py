@@ -1,14 +1,13 @@
 """Partitions, leakage-safe folds and resampling of entities."""
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_index, hash_uniform_53
-from .order_stats import _join, quantiles, with_hash_index, with_position
+
+from .order_stats import _join, with_hash_index, with_position
 
 
 class LeakageError(AssertionError):
@@ -138,41 +137,3 @@ def expand_folds(folds: DataFrame, k: int, fold: str = "fold") -> DataFrame:
 def coverage_check(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Rows and distinct entities per group; both must equal the number of entities."""
     return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_cells"))
-
-
-def bootstrap_weights(cells: DataFrame, key: str, n_boot: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Multiplicities of a bootstrap: n draws with replacement for each of ``n_boot`` resamples.
-
-    Draw j of resample b picks the entity with index hash(seed, b, j) of n.
-    Entities that were not drawn have no row.
-    """
-    by = list(by)
-    indexed = with_hash_index(cells.select(*by, key), by, key, "__j", total="__n")
-    draws = (
-        indexed.select(*by, "__j", "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-        .withColumn("__pick", hash_index(F.col("__n"), seed, F.col("b"), F.col("__j")))
-        .groupBy(*by, "b", "__pick")
-        .agg(F.count("*").alias("w"))
-    )
-    lookup = indexed.select(*by, F.col("__j").alias("__pick"), key)
-    return _join(draws, lookup, [*by, "__pick"]).select(*by, "b", key, "w")
-
-
-def poisson_weights(cells: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """Poisson(1) multiplicities: the bootstrap for very large n, drawn without any shuffle.
-
-    Every multiplicity that a draw of 53 bits can reach is inverted: the steps end where the distribution function is 1.
-    """
-    u = hash_uniform_53(seed, F.col("b"), F.col(key))
-    cdf, p, w, k = 0.0, math.exp(-1.0), F.lit(0), 0
-    while cdf + p > cdf:
-        cdf, k = cdf + p, k + 1
-        p /= k
-        w = w + (u >= cdf).cast("int")
-    rows = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return rows.withColumn("w", w.cast("long")).filter("w > 0")
-
-
-def bootstrap_interval(values: DataFrame, by: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval over resamples; the number of resamples bounds each group."""
-    return quantiles(values, by, value, {"lo": alpha / 2, "hi": 1 - alpha / 2}, bounded=True)

@@ -10,12 +10,13 @@ from ..functions.numeric import (
 from ..operators import metrics as mt
 from ..operators import order_stats as os_
 from ..operators import policy as pl
+from ..operators import resampling as rs
 from ..operators import splits as sp
 from ..sources.tables import (
     missing_cells as missing_cells_of, new_cells, protocol_table,
 )
 from .bindings import (
-    ALARMS_SQL, CELLS_SQL, MODELS, POLICIES, PREDS_SQL, SETS_SQL, alarms, cells, decision_sets, preds, query, table,
+    ALARMS_SQL, CELLS_SQL, MODELS, POLICIES, PREDS_SQL, SETS_SQL, alarms, cells, decision_sets, preds, query, resamples_sql, table,
 )
 
 # ------------------------------------------------------------- sources and set operations
@@ -139,7 +140,6 @@ def text_parsing(spark, sf):
 
 
 _HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
-_HASH60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
 
 @query("B1 B2 (hash randomness)", f"""SELECT c_custkey, {_HASH.format("'7,' || c_custkey")} AS u,
@@ -198,33 +198,29 @@ def fold_coverage(spark, sf):
     return sp.coverage_check(f, ["repeat"], "cell_id")
 
 
-_BOOT = f"""idx AS (SELECT cell_id, row_number() OVER (ORDER BY md5(cell_id::VARCHAR), cell_id) - 1 AS j, count(*) OVER () AS n FROM ids),
-  draw AS (SELECT b, {_HASH60.format("{seed} || ',' || b || ',' || j")} % n AS pick FROM idx, range({{B}}) t(b)),
-  bw AS (SELECT d.b, i.cell_id, count(*) AS w FROM draw d JOIN idx i ON i.j = d.pick GROUP BY ALL)"""
-
-
-@query("R6 (draws)", f"WITH ids AS (SELECT c_custkey AS cell_id FROM customer), {_BOOT.format(seed=5, B=20)} SELECT b::INTEGER AS b, cell_id, w FROM bw")
+@query("R6 (draws)", f"""WITH ids AS (SELECT c_custkey AS cell_id FROM customer), {resamples_sql('ids', 5, 500)}
+  SELECT b, count(*) FILTER (w > 0) AS n_drawn, sum(w)::BIGINT AS n_draws, max(w)::INTEGER AS most, sum(w * cell_id)::BIGINT AS check_sum FROM bw GROUP BY b""")
 def bootstrap_draws(spark, sf):
-    return sp.bootstrap_weights(cells(spark, sf).select("cell_id"), "cell_id", 20, 5)
+    w = rs.resample_weights(cells(spark, sf).select("cell_id"), "cell_id", 500, 5).select("cell_id", F.posexplode("w").alias("b", "w"))
+    return w.groupBy("b").agg(F.count_if(F.col("w") > 0).alias("n_drawn"), F.sum("w").alias("n_draws"), F.max("w").alias("most"), F.sum(F.col("w") * F.col("cell_id")).alias("check_sum"))
 
 
-@query("R6", f"""WITH {PREDS_SQL}, ids AS (SELECT DISTINCT cell_id FROM preds), {_BOOT.format(seed=0, B=40)},
-  pb AS (SELECT b, model, seed, sqrt(sum(w * (y_pred - y_true) * (y_pred - y_true)) / sum(w)) AS r FROM preds JOIN bw USING (cell_id) GROUP BY ALL),
+@query("R6", f"""WITH {PREDS_SQL}, ids AS (SELECT DISTINCT cell_id FROM preds), {resamples_sql('ids', 0, 2000)},
+  e AS (SELECT cell_id, model, seed, (y_pred - y_true) * (y_pred - y_true) AS se FROM preds),
+  pb AS (SELECT b, model, seed, sqrt(sum(w * se) / sum(w)) AS r FROM e JOIN bw USING (cell_id) GROUP BY ALL),
   pm AS (SELECT b, model, avg(r) AS r FROM pb GROUP BY ALL)
   SELECT model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM pm GROUP BY ALL""", "lo hi")
 def bootstrap_rmse_interval(spark, sf):
-    return mt.bootstrap_metric_ci(preds(spark, sf), "cell_id", ["model"], n_boot=40)
+    return mt.bootstrap_metric_ci(preds(spark, sf), "cell_id", ["model"], n_boot=2000)
 
 
-@query("R6 (Poisson weights)", f"""WITH ids AS (SELECT c_custkey AS cell_id FROM customer),
-  u AS (SELECT cell_id, b, ({_HASH60.format("'9,' || b || ',' || cell_id")} >> 7) / 9007199254740992.0 AS u FROM ids, range(10) t(b)),
-  cdf AS (SELECT k, sum(exp(-1.0) / factorial(j::INTEGER)) AS c FROM range(1, 21) a(k), range(0, 20) b(j) WHERE j < k GROUP BY k)
-  SELECT b::INTEGER AS b, cell_id, count(*) AS w FROM u JOIN cdf ON u.u >= cdf.c GROUP BY ALL""")
+@query("R6 (Poisson weights)", f"""WITH ids AS (SELECT c_custkey AS cell_id FROM customer), {resamples_sql('ids', 9, 500)}
+  SELECT cell_id, list(w ORDER BY b) AS w FROM bw GROUP BY cell_id""")
 def poisson_draws(spark, sf):
-    return sp.poisson_weights(cells(spark, sf).select("cell_id"), "cell_id", 10, 9).select("b", "cell_id", "w")
+    return rs.resample_weights(cells(spark, sf).select("cell_id"), "cell_id", 500, 9)
 
 
-@query("R7 E2", f"""WITH {PREDS_SQL}, ids AS (SELECT DISTINCT cell_id FROM preds), {_BOOT.format(seed=0, B=30)},
+@query("R7 E2", f"""WITH {PREDS_SQL}, ids AS (SELECT DISTINCT cell_id FROM preds), {resamples_sql('ids', 0, 500)},
   wide AS (SELECT cell_id, seed, y_true AS y, max(y_pred) FILTER (WHERE model = 'a') AS a, max(y_pred) FILTER (WHERE model = 'b') AS b FROM preds GROUP BY ALL),
   e AS (SELECT cell_id, seed, (a - y) * (a - y) AS sa, (b - y) * (b - y) AS sb, abs(a - y) AS aa, abs(b - y) AS ab FROM wide),
   f AS (SELECT avg(dr) AS dRMSE, avg(dm) AS dMAE FROM (SELECT seed, sqrt(avg(sa)) - sqrt(avg(sb)) AS dr, avg(aa) - avg(ab) AS dm FROM e GROUP BY ALL)),
@@ -236,18 +232,16 @@ def poisson_draws(spark, sf):
 def paired_bootstrap(spark, sf):
     p = preds(spark, sf)
     wide = p.groupBy("cell_id", "seed", "y_true").pivot("model", ["a", "b"]).agg(F.max("y_pred"))
-    return mt.paired_comparison(wide, "cell_id", [], "y_true", "a", "b", n_boot=30).drop("wilcoxon_p")
+    return mt.paired_comparison(wide, "cell_id", [], "y_true", "a", "b", n_boot=500).drop("wilcoxon_p")
 
 
-@query("R8", f"""WITH {SETS_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=11, B=30)},
+@query("R8", f"""WITH {SETS_SQL}, ids AS (SELECT cell_id FROM alarms), {resamples_sql('ids', 11, 500)},
   m AS (SELECT b, T, repeat, sum(w * CASE WHEN fail_in_set <> pass_in_set THEN 1.0 ELSE 0.0 END) / sum(w) AS v FROM sets JOIN bw USING (cell_id) WHERE alpha = 0.05 GROUP BY ALL),
   r AS (SELECT b, T, avg(v) AS v FROM m GROUP BY ALL) SELECT T, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM r GROUP BY ALL""", "lo hi")
 def repeat_averaged_interval(spark, sf):
     s = decision_sets(spark, sf).filter("alpha = 0.05")
-    w = sp.bootstrap_weights(alarms(spark, sf).select("cell_id"), "cell_id", 30, 11)
-    v = F.sum(F.col("w") * (F.col("fail_in_set") != F.col("pass_in_set")).cast("double")) / F.sum("w")
-    r = s.join(w, "cell_id").groupBy("b", "T", "repeat").agg(v.alias("v")).groupBy("b", "T").agg(F.avg("v").alias("v"))
-    return sp.bootstrap_interval(r, ["T"], "v")
+    sums = rs.weighted_sums(s, ["T", "repeat"], "cell_id", {"decided": (F.col("fail_in_set") != F.col("pass_in_set")).cast("int")}, 500, 11)
+    return rs.bootstrap_interval(sums.groupBy("b", "T").agg(F.avg(F.try_divide("decided", "w")).alias("v")), ["T"], "v")
 
 
 # ------------------------------------------------------------- regression metrics
@@ -509,14 +503,14 @@ def stop_decisions(spark, sf):
     return _decisions(spark, sf)
 
 
-def _sum_sql(w: str) -> str:
+def _sum_sql(w: str, scale: str = "") -> str:
     return f"""sum({w} * stopped_at_cycle) / sum({w}) AS avg_test_cycles, sum({w} * true_life) / sum({w}) AS full_test_cycles,
     1 - sum({w} * stopped_at_cycle) / sum({w} * true_life) AS test_time_saved, sum(CASE WHEN decided_early THEN {w} ELSE 0 END) / sum({w})::DOUBLE AS decided_early,
-    sum(CASE WHEN NOT correct THEN {w} ELSE 0 END) / sum({w})::DOUBLE AS wrong_decisions, sum(CASE WHEN decision = 'PASS' AND early_failure THEN {w} ELSE 0 END)::DOUBLE AS missed_failures,
-    sum(CASE WHEN decision = 'FAIL' AND NOT early_failure THEN {w} ELSE 0 END)::DOUBLE AS false_failures,
+    sum(CASE WHEN NOT correct THEN {w} ELSE 0 END) / sum({w})::DOUBLE AS wrong_decisions, sum(CASE WHEN decision = 'PASS' AND early_failure THEN {w} ELSE 0 END)::DOUBLE{scale} AS missed_failures,
+    sum(CASE WHEN decision = 'FAIL' AND NOT early_failure THEN {w} ELSE 0 END)::DOUBLE{scale} AS false_failures,
     sum(CASE WHEN decision = 'FAIL' AND NOT early_failure THEN {w} ELSE 0 END) / greatest(sum(CASE WHEN NOT early_failure THEN {w} ELSE 0 END), 1)::DOUBLE AS false_alarm_rate,
     sum(CASE WHEN decision = 'PASS' AND early_failure THEN {w} ELSE 0 END) / greatest(sum(CASE WHEN early_failure THEN {w} ELSE 0 END), 1)::DOUBLE AS missed_failure_rate,
-    sum({w})::DOUBLE AS n_cells, sum(CASE WHEN early_failure THEN {w} ELSE 0 END)::DOUBLE AS n_failures"""
+    sum({w})::DOUBLE{scale} AS n_cells, sum(CASE WHEN early_failure THEN {w} ELSE 0 END)::DOUBLE{scale} AS n_failures"""
 
 
 _NAMES = pl.SUMMARY_NAMES
@@ -532,14 +526,14 @@ def policy_summary(spark, sf):
 _LONG = f"UNPIVOT {{0}} ON {', '.join(_NAMES)} INTO NAME metric VALUE v"
 
 
-@query("Q8 R8 T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=3, B=25)},
+@query("Q8 R8 T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {resamples_sql('ids', 3, 500)},
   s AS (SELECT repeat, policy, alpha, {_sum_sql('1')} FROM dec GROUP BY repeat, policy, alpha), m AS (SELECT policy, alpha, {_AVG} FROM s GROUP BY policy, alpha),
-  t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
+  t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w', ' * count(*) / sum(w)')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
   ml AS (SELECT policy, alpha, metric, v AS mean FROM ({_LONG.format('m')})), ul AS (SELECT policy, alpha, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi
     FROM ({_LONG.format('u')}) GROUP BY ALL)
   SELECT * FROM ml JOIN ul USING (policy, alpha, metric)""", "alpha mean lo hi")
 def policy_summary_intervals(spark, sf):
-    return pl.policy_summary_ci(_decisions(spark, sf), n_boot=25)
+    return pl.policy_summary_ci(_decisions(spark, sf), n_boot=500)
 
 
 @query("Q9", f"""WITH {_STOP_SQL}, x AS (SELECT repeat, d.policy, alpha, p.T AS checkpoint, avg((decided_early AND stopped_at_cycle <= p.T)::INT) AS s FROM dec d JOIN pol p USING (policy) GROUP BY ALL)
@@ -577,12 +571,100 @@ def seen_unseen_errors(spark, sf):
     return pl.seen_unseen_errors(p, ["model"], "y_true", "y_pred")
 
 
-@query("T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {_BOOT.format(seed=3, B=25)},
+@query("T14", f"""WITH {_STOP_SQL}, ids AS (SELECT cell_id FROM alarms), {resamples_sql('ids', 3, 500)},
   s AS (SELECT repeat, policy, alpha, {_sum_sql('1')} FROM dec GROUP BY repeat, policy, alpha), m AS (SELECT policy, alpha, {_AVG} FROM s GROUP BY policy, alpha),
-  t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
+  t AS (SELECT b, repeat, policy, alpha, {_sum_sql('w', ' * count(*) / sum(w)')} FROM dec JOIN bw USING (cell_id) GROUP BY b, repeat, policy, alpha), u AS (SELECT b, policy, alpha, {_AVG} FROM t GROUP BY b, policy, alpha),
   q AS (SELECT policy, alpha, quantile_cont(avg_test_cycles, 0.025) AS lo, quantile_cont(avg_test_cycles, 0.975) AS hi FROM u GROUP BY ALL)
   SELECT policy, alpha, printf('%.1f [%.1f, %.1f]', avg_test_cycles, lo, hi) AS avg_test_cycles FROM m JOIN q USING (policy, alpha)""", "alpha")
 def policy_table_text(spark, sf):
     from ..operators.reports import interval_pivot
 
-    return interval_pivot(pl.policy_summary_ci(_decisions(spark, sf), n_boot=25), ["policy", "alpha"], ["avg_test_cycles"])
+    return interval_pivot(pl.policy_summary_ci(_decisions(spark, sf), n_boot=500), ["policy", "alpha"], ["avg_test_cycles"])
+
+
+# ------------------------------------------------------------- resampled new and baseline models
+
+_NESTED_SQL = ALARMS_SQL + """,
+nested AS (
+  SELECT *, 0.71 * pred_life AS lo90, 1.37 * pred_life AS hi90, 0.73 * base_pred_life AS base_lo90, 1.41 * base_pred_life AS base_hi90,
+    p_fail > 0.453 AS alarm, base_pred_life < 1503.1 AS base_alarm, p_fail > 0.303 + 0.003 * T AS fail_in_set, p_fail < 0.601 AS pass_in_set
+  FROM (SELECT cell_id, T, repeat, 200.0 + n_chars AS y_true, early_failure, n_chars / (n_chars + 900.0) * (0.5137 + (cell_id * 3 + T + repeat) % 7 / 14.3) AS p_fail,
+    (200.0 + n_chars) * (0.8137 + (cell_id * 7 + T + repeat * 3) % 13 / 31.7) AS pred_life, 300.0 + 0.7137 * n_chars + 11.3 * ((cell_id * 5 + T * 2 + repeat) % 17) AS base_pred_life
+    FROM alarms, (VALUES (5), (20)) c(T), (VALUES (0), (1)) r(repeat)))"""
+
+
+def _nested(spark, sf):
+    rows = alarms(spark, sf).select("cell_id", "early_failure", F.col("n_chars").alias("c"))
+    rows = rows.withColumn("T", F.explode(F.array(F.lit(5), F.lit(20)))).withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1))))
+    k, t, r, c = F.col("cell_id"), F.col("T"), F.col("repeat"), F.col("c")
+    rows = rows.select(
+        "cell_id", "T", "repeat", "early_failure", (200.0 + c).alias("y_true"), (c / (c + 900.0) * (0.5137 + (k * 3 + t + r) % 7 / 14.3)).alias("p_fail"),
+        ((200.0 + c) * (0.8137 + (k * 7 + t + r * 3) % 13 / 31.7)).alias("pred_life"), (300.0 + 0.7137 * c + 11.3 * ((k * 5 + t * 2 + r) % 17)).alias("base_pred_life"),
+    )
+    ends = {"lo90": 0.71 * F.col("pred_life"), "hi90": 1.37 * F.col("pred_life"), "base_lo90": 0.73 * F.col("base_pred_life"), "base_hi90": 1.41 * F.col("base_pred_life")}
+    p = F.col("p_fail")
+    return rows.withColumns(ends | {"alarm": p > 0.453, "base_alarm": F.col("base_pred_life") < 1503.1, "fail_in_set": p > 0.303 + 0.003 * t, "pass_in_set": p < 0.601})
+
+
+def _metric_sql() -> str:
+    part = lambda hit, of: f"sum(w * ({hit})::INT) / greatest(sum(w * ({of})::INT), 1)::DOUBLE"
+    share = lambda hit: f"sum(w * ({hit})::INT) / sum(w)::DOUBLE"
+    f, fail, ok, out = "early_failure", "fail_in_set", "pass_in_set", {}
+    for k, pre in (("new", ""), ("base", "base_")):
+        p = f"{pre}pred_life"
+        out |= {f"reg_{k}_RMSE": f"sqrt(sum(w * ({p} - y_true) * ({p} - y_true)) / sum(w))", f"reg_{k}_MAE": f"sum(w * abs({p} - y_true)) / sum(w)", f"reg_{k}_MAPE": f"sum(w * abs({p} - y_true) / y_true) / sum(w)"}
+        out |= {f"reg_{k}_coverage90": share(f"y_true BETWEEN {pre}lo90 AND {pre}hi90"), f"reg_{k}_rel_width90": f"sum(w * ({pre}hi90 - {pre}lo90) / {p}) / sum(w)"}
+        out |= {f"clf_{k}_recall": part(f"{pre}alarm AND {f}", f), f"clf_{k}_precision": part(f"{pre}alarm AND {f}", f"{pre}alarm"), f"clf_{k}_false_alarm_rate": part(f"{pre}alarm AND NOT {f}", f"NOT {f}")}
+    wrong = f"{fail} <> {ok} AND (({fail} AND NOT {f}) OR ({ok} AND {f}))"
+    out |= {"clf_new_Brier": f"sum(w * (p_fail - {f}::INT) * (p_fail - {f}::INT)) / sum(w)", "conf_decided": share(f"{fail} <> {ok}"), "conf_error_among_decided": part(wrong, f"{fail} <> {ok}")}
+    out |= {"conf_coverage": share(f"CASE WHEN {f} THEN {fail} ELSE {ok} END"), "conf_false_alarm_rate": part(f"{fail} AND NOT {ok} AND NOT {f}", f"NOT {f}")}
+    out |= {"conf_failures_caught": part(f"{fail} AND NOT {ok} AND {f}", f), "conf_failures_cleared": part(f"{ok} AND NOT {fail} AND {f}", f), "conf_deferred": f"1 - {share(f'{fail} <> {ok}')}"}
+    return ",\n    ".join(f"{e} AS {k}" for k, e in out.items())
+
+
+_RESAMPLED_SQL = f"""{_NESTED_SQL}, ids AS (SELECT DISTINCT cell_id FROM nested), {resamples_sql('ids', 7, 500)},
+  wt AS (SELECT b, cell_id, w FROM bw UNION ALL SELECT -1, cell_id, 1 FROM ids),
+  s AS (SELECT b, T, repeat, {_metric_sql()} FROM nested JOIN wt USING (cell_id) GROUP BY b, T, repeat),
+  v AS (SELECT b, T, repeat, k, sc, sum(CASE WHEN early_failure THEN w ELSE 0 END) AS p, sum(CASE WHEN early_failure THEN 0 ELSE w END) AS n
+    FROM (SELECT *, unnest(['new', 'base']) AS k, unnest([p_fail, -base_pred_life]) AS sc FROM nested) JOIN wt USING (cell_id) GROUP BY b, T, repeat, k, sc),
+  c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY b, T, repeat, k ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
+    sum(p) OVER (PARTITION BY b, T, repeat, k ORDER BY sc DESC) AS tp, sum(p + n) OVER (PARTITION BY b, T, repeat, k ORDER BY sc DESC) AS al FROM v),
+  r AS (SELECT b, T, repeat, k, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (nb + n / 2.0)) / (sum(p) * sum(n))::DOUBLE END AS auc,
+    CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(CASE WHEN al > 0 THEN p * tp / al::DOUBLE ELSE 0 END) / sum(p)::DOUBLE END AS ap FROM c GROUP BY b, T, repeat, k),
+  wide AS (SELECT s.*, x.auc AS clf_new_ROC_AUC, x.ap AS clf_new_PR_AUC, y.auc AS clf_base_ROC_AUC, y.ap AS clf_base_PR_AUC
+    FROM s JOIN (SELECT * FROM r WHERE k = 'new') x USING (b, T, repeat) JOIN (SELECT * FROM r WHERE k = 'base') y USING (b, T, repeat)),
+  one AS (SELECT b, T, avg(COLUMNS(* EXCLUDE (b, T, repeat))) FROM wide GROUP BY b, T),
+  kept AS (SELECT b, T, bool_and(clf_new_ROC_AUC IS NOT NULL) AS ok FROM wide GROUP BY b, T),
+  skipped AS (SELECT T, count(*) FILTER (NOT ok AND b >= 0) AS n_skipped FROM kept GROUP BY T)"""
+
+
+def _resampled(spark, sf):
+    return rs.resampled_metrics(_nested(spark, sf), ["T"], n_boot=500, seed=7)
+
+
+@query("T13 R8 E3 E4 E7 E9", f"""WITH {_RESAMPLED_SQL}, l AS (UNPIVOT one ON COLUMNS(* EXCLUDE (b, T)) INTO NAME metric VALUE x)
+  SELECT l.T, metric, max(x) FILTER (l.b = -1) AS mean, quantile_cont(x, 0.025) FILTER (l.b >= 0 AND ok) AS lo95, quantile_cont(x, 0.975) FILTER (l.b >= 0 AND ok) AS hi95,
+    2::BIGINT AS n_repeats, any_value(n_skipped) AS n_skipped FROM l JOIN kept ON kept.b = l.b AND kept.T = l.T JOIN skipped ON skipped.T = l.T GROUP BY l.T, metric""", "mean lo95 hi95")
+def resampled_metric_table(spark, sf):
+    return rs.resampled_metric_table(*_resampled(spark, sf), ["T"])
+
+
+@query("T13 R7", f"""WITH {_RESAMPLED_SQL}, d AS (SELECT b, T, reg_new_MAE - reg_base_MAE AS "dMAE", reg_new_RMSE - reg_base_RMSE AS "dRMSE", clf_new_PR_AUC - clf_base_PR_AUC AS "dPR_AUC",
+    clf_new_ROC_AUC - clf_base_ROC_AUC AS "dROC_AUC" FROM one), l AS (UNPIVOT d ON "dMAE", "dRMSE", "dPR_AUC", "dROC_AUC" INTO NAME difference VALUE x)
+  SELECT l.T, difference, max(x) FILTER (l.b = -1) AS estimate, quantile_cont(x, 0.025) FILTER (l.b >= 0 AND ok) AS lo95, quantile_cont(x, 0.975) FILTER (l.b >= 0 AND ok) AS hi95,
+    avg(CASE WHEN difference IN ('dMAE', 'dRMSE') THEN x < 0 ELSE x > 0 END::INT) FILTER (l.b >= 0 AND ok) AS share_better, any_value(n_skipped) AS n_skipped
+  FROM l JOIN kept ON kept.b = l.b AND kept.T = l.T JOIN skipped ON skipped.T = l.T GROUP BY l.T, difference""", "estimate lo95 hi95 share_better")
+def resampled_differences(spark, sf):
+    return rs.paired_difference_table(*_resampled(spark, sf), ["T"])
+
+
+@query("T13 T14", f"""WITH {_RESAMPLED_SQL}, l AS (UNPIVOT one ON reg_new_MAE, reg_base_MAE, reg_new_RMSE, reg_base_RMSE INTO NAME metric VALUE x),
+  q AS (SELECT l.T, metric, printf('%.1f [%.1f, %.1f]', max(x) FILTER (l.b = -1), quantile_cont(x, 0.025) FILTER (l.b >= 0 AND ok), quantile_cont(x, 0.975) FILTER (l.b >= 0 AND ok)) AS line
+    FROM l JOIN kept ON kept.b = l.b AND kept.T = l.T GROUP BY l.T, metric)
+  SELECT T, max(line) FILTER (metric = 'reg_new_MAE') AS "reg_new_MAE", max(line) FILTER (metric = 'reg_base_MAE') AS "reg_base_MAE", max(line) FILTER (metric = 'reg_new_RMSE') AS "reg_new_RMSE",
+    max(line) FILTER (metric = 'reg_base_RMSE') AS "reg_base_RMSE" FROM q GROUP BY T""")
+def resampled_report(spark, sf):
+    from ..operators.reports import interval_pivot
+
+    rows = rs.resampled_metric_table(*_resampled(spark, sf), ["T"]).withColumnsRenamed({"lo95": "lo", "hi95": "hi"})
+    return interval_pivot(rows, ["T"], ["reg_new_MAE", "reg_base_MAE", "reg_new_RMSE", "reg_base_RMSE"])

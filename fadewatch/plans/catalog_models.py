@@ -15,10 +15,10 @@ from ..operators import splits as sp
 from . import experiments as ex
 from .bindings import (
     CELLS_SQL, FEATURE_GROUPS, FEATURES, GROUPS_SQL, MATRIX_SQL, MODELS, PHI_SQL, PREDS_SQL, SERIES_SQL, cells, curved_series,
-    features_matrix, phi_rows, preds, query, series, table,
+    features_matrix, phi_rows, preds, query, resamples_sql, series, table,
 )
 from ..operators.features import FEATURE_SETS, build_features
-from .catalog_eval import _HASH, _HASH60, _METRICS
+from .catalog_eval import _HASH, _METRICS
 from .catalog_series import _set_sql
 
 X = ["x1", "x2", "x3", "x4", "x5"]
@@ -597,9 +597,7 @@ def missing_value_sweep(spark, sf):
 
 # ------------------------------------------------------------- report tables with several inputs
 
-_BOOT20 = f"""ids AS (SELECT DISTINCT cell_id FROM preds), idx AS (SELECT cell_id, row_number() OVER (ORDER BY md5(cell_id::VARCHAR), cell_id) - 1 AS j, count(*) OVER () AS n FROM ids),
-  draw AS (SELECT b, {_HASH60.format("0 || ',' || b || ',' || j")} % n AS pick FROM idx, range(20) t(b)),
-  bw AS (SELECT d.b, i.cell_id, count(*) AS w FROM draw d JOIN idx i ON i.j = d.pick GROUP BY ALL)"""
+_BOOT500 = f"""ids AS (SELECT DISTINCT cell_id FROM preds), {resamples_sql('ids', 0, 500)}"""
 _PM = lambda m, s: f"printf('%.1f', {m}) || ' ± ' || printf('%.1f', {s})"
 _PART = "CASE WHEN cell_id % 3 = 0 THEN 'oof' ELSE 'test' END"
 _NM = ["RMSE", "MAE", "R2", "MedAE", "Bias", "nRMSE", "MAPE"]
@@ -613,7 +611,7 @@ def _summaries(spark, sf):
     return p, s.filter("part = 'test'").drop("part"), s.filter("part = 'oof'").drop("part")
 
 
-@query("T2 R6 E1", f"""WITH {PREDS_SQL}, {_BOOT20}, {_SUM2},
+@query("T2 R6 E1", f"""WITH {PREDS_SQL}, {_BOOT500}, {_SUM2},
   pb AS (SELECT b, model, avg(r) AS r FROM (SELECT b, model, seed, sqrt(sum(w * (y_pred - y_true) * (y_pred - y_true)) / sum(w)) AS r FROM preds JOIN bw USING (cell_id) GROUP BY ALL) GROUP BY ALL),
   ci AS (SELECT model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM pb GROUP BY ALL)
   SELECT CASE WHEN t.model = 'a' THEN 'a ★' ELSE t.model END AS "Model", {_PM('t.RMSE_m', 't.RMSE_s')} AS "RMSE", printf('[%.0f, %.0f]', lo, hi) AS "CI95", {_PM('t.MAE_m', 't.MAE_s')} AS "MAE",
@@ -622,7 +620,7 @@ def _summaries(spark, sf):
   FROM sm t JOIN ci USING (model) JOIN sm o ON o.model = t.model AND o.part = 'oof' WHERE t.part = 'test'""")
 def main_benchmark_table(spark, sf):
     p, test, oof = _summaries(spark, sf)
-    ci = mt.bootstrap_metric_ci(p, "cell_id", ["model"], n_boot=20)
+    ci = mt.bootstrap_metric_ci(p, "cell_id", ["model"], n_boot=500)
     return rp.main_benchmark(test, oof, ci, "a")
 
 
@@ -644,7 +642,7 @@ def baseline_reproduction_table(spark, sf):
     return rp.baseline_reproduction(test.select("model", F.col("RMSE_mean").alias("RMSE"), F.col("RMSE_std").alias("RMSE_std")), pub)
 
 
-@query("T3", f"""WITH {PREDS_SQL}, {_BOOT20},
+@query("T3", f"""WITH {PREDS_SQL}, {_BOOT500},
   wide AS (SELECT cell_id, seed, y_true AS y, max(y_pred) FILTER (WHERE model = 'a') AS a, max(y_pred) FILTER (WHERE model = 'c') AS b FROM preds GROUP BY ALL),
   e AS (SELECT cell_id, seed, (a - y) * (a - y) AS sa, (b - y) * (b - y) AS sb, abs(a - y) AS aa, abs(b - y) AS ab FROM wide),
   f AS (SELECT avg(dr) AS dr, avg(dm) AS dm FROM (SELECT seed, sqrt(avg(sa)) - sqrt(avg(sb)) AS dr, avg(aa) - avg(ab) AS dm FROM e GROUP BY ALL)),
@@ -654,7 +652,7 @@ def baseline_reproduction_table(spark, sf):
     (SELECT count(*) FILTER (WHERE ma < mb) || '/' || count(*) FROM pc) AS cells_better FROM f, q""")
 def paired_comparison_table(spark, sf):
     wide = preds(spark, sf).groupBy("cell_id", "seed", "y_true").pivot("model", ["a", "c"]).agg(F.max("y_pred"))
-    c = mt.paired_comparison(wide, "cell_id", [], "y_true", "a", "c", n_boot=20)
+    c = mt.paired_comparison(wide, "cell_id", [], "y_true", "a", "c", n_boot=500)
     return rp.paired_table(c.withColumn("versus", F.lit("c"))).drop("wilcoxon_p")
 
 

@@ -139,14 +139,6 @@ def test_overlap_and_coverage_checks_raise(spark):
     sp.assert_same_ids(a, a.union(a), "cell_id")
 
 
-def test_bootstrap_draws_n_per_resample(spark):
-    cells = spark.range(97).select(F.col("id").alias("cell_id"))
-    w = sp.bootstrap_weights(cells, "cell_id", 30, 3).groupBy("b").agg(F.sum("w").alias("n")).collect()
-    assert len(w) == 30 and {r.n for r in w} == {97}
-    p = sp.poisson_weights(cells, "cell_id", 200, 3).agg((F.sum("w") / (97 * 200)).alias("m")).first().m
-    assert p == pytest.approx(1.0, abs=0.03)
-
-
 def test_paired_comparison_and_signed_rank(spark):
     rng = np.random.default_rng(1)
     y = rng.uniform(300, 2000, 60)
