@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import catalog_eval, catalog_models, catalog_series  # noqa: F401
+from . import catalog_eval, catalog_models, catalog_series, catalog_sources  # noqa: F401
 from .bindings import REGISTRY  # noqa: F401

@@ -1,6 +1,7 @@
 """Readers and writers of telemetry, feature, prediction and selection tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,9 +161,54 @@ def read_features(spark: SparkSession, path: str, feature_set: str, horizon: int
     return out
 
 
-def append_predictions(preds: DataFrame, path: str) -> None:
-    """Append to the prediction log (model, seed, partition, cell_id, y_true, y_pred)."""
-    preds.select("model", "seed", "partition", "cell_id", "y_true", "y_pred").write.mode("append").partitionBy("model").parquet(path)
+PREDICTION_COLUMNS = ["model", "seed", "partition", "cell_id", "y_true", "y_pred"]
+
+
+class BrokenBatchError(AssertionError):
+    """A committed batch does not hold the rows that its manifest states."""
+
+
+def write_attempt(df: DataFrame, path: str, batch: str) -> str:
+    """Write the rows of a batch without committing them; the attempt's name."""
+    attempt = f"a{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/data/batch=b-{batch}/attempt={attempt}")
+    return attempt
+
+
+def commit_attempt(spark: SparkSession, path: str, batch: str, attempt: str) -> None:
+    """Make an attempt the one that counts for its batch.
+
+    The manifest entry is one small file that is written last and names the attempt and its rows. A job that dies before
+    leaves the batch as it was, and one that runs again replaces what it wrote before.
+    """
+    n = spark.read.parquet(f"{path}/data/batch=b-{batch}/attempt={attempt}").count()
+    entry = spark.createDataFrame([(attempt, n)], "attempt string, n_rows long")
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch=b-{batch}")
+
+
+def append_predictions(preds: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to the prediction log (model, seed, partition, cell_id, y_true, y_pred).
+
+    A batch is one unit of work, named by the caller (a run, a fold). Running it again replaces it, so the log never holds
+    a prediction twice; batches do not touch each other.
+    """
+    attempt = write_attempt(preds.select(*PREDICTION_COLUMNS), path, batch)
+    commit_attempt(preds.sparkSession, path, batch, attempt)
+
+
+def read_predictions(spark: SparkSession, path: str, check: bool = False) -> DataFrame:
+    """Rows of all committed batches with their ``batch``; attempts that were not committed or were replaced are not read.
+
+    With ``check`` the rows of each batch are counted against its manifest first.
+    """
+    commits = spark.read.parquet(f"{path}/commits")
+    data = spark.read.parquet(f"{path}/data").join(commits.select("batch", "attempt"), ["batch", "attempt"], "left_semi")
+    if check:
+        found = data.groupBy("batch").agg(F.count("*").alias("n"))
+        bad = commits.join(found, "batch", "left").filter(F.coalesce("n", F.lit(0)) != F.col("n_rows")).select("batch").first()
+        if bad is not None:
+            raise BrokenBatchError(f"batch {bad['batch'][2:]} does not hold the rows of its manifest")
+    return data.select(F.substring("batch", 3, 1 << 20).alias("batch"), *PREDICTION_COLUMNS)
 
 
 def write_small(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -249,9 +249,20 @@ def test_manifests_features_and_logs_round_trip(spark, tmp_path):
     part = spark.createDataFrame([("a", "train"), ("b", "train")], "cell_id string, partition string")
     got = src.read_features(spark, str(tmp_path / "f"), "B", 20, ["x"], part)
     assert sorted((r.cell_id, r.x) for r in got.collect()) == [("a", 1.0), ("b", 2.0)]
-    src.append_predictions(spark.createDataFrame([("m", 0, "test", "a", 1.0, 2.0)], "model string, seed int, partition string, cell_id string, y_true double, y_pred double"), str(tmp_path / "p"))
+    log, cols = str(tmp_path / "p"), "model string, seed int, partition string, cell_id string, y_true double, y_pred double"
+    one = spark.createDataFrame([("m", 0, "test", "a", 1.0, 2.0), ("m", 0, "test", "b", 1.0, 3.0)], cols)
+    src.append_predictions(one, log, "01")
+    src.append_predictions(one, log, "01")  # the same job again
+    src.append_predictions(one.limit(1), log, "1")
+    src.write_attempt(one.union(one), log, "2")  # a job that died before its commit
+    assert sorted((r.batch, r.cell_id) for r in src.read_predictions(spark, log, check=True).collect()) == [("01", "a"), ("01", "b"), ("1", "a")]
+    attempt = src.write_attempt(one, log, "3")
+    src.commit_attempt(spark, log, "3", attempt)
+    one.limit(1).write.mode("overwrite").parquet(f"{log}/data/batch=b-3/attempt={attempt}")
+    with pytest.raises(src.BrokenBatchError, match="batch 3"):
+        src.read_predictions(spark, log, check=True)
     src.write_small(train, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 1 and spark.read.json(str(tmp_path / "s")).count() == 2
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
 
 
 def test_mean_kendall_tau_equals_pairwise(spark):
