@@ -7,9 +7,9 @@ bytes) need to be compared with the strings of the same gram elsewhere only. Ste
 
 1. Count the grams that are seeds. A filter of fixed size lets through those seen twice.
 2. Segments of these grams; equal segments are one, owned by the earliest. Whatever is not an owner is a repeat.
-3. Owners of one gram meet. Too many of them are split by the offset of the seed in the string: strings in the lower and
-   the upper half of the offsets share a longer context, which makes the new key. At the end of the halving a key stands
-   for one string, so no group stays too large.
+3. Owners of one gram meet. First they are split by the offset of the seed in the string: strings in the lower and the
+   upper half of the offsets share a longer context, which makes the new key. Too large groups are split on; at the end of
+   the halving a key stands for one string, so no group stays too large.
 4. A task writes the owners of its grams one after the other, builds the suffix array of that text, and reads equal strings
    off neighbours in it. All but the earliest are repeats.
 5. Repeats are joined to the documents, whose texts lose these bytes.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import scratch, staged
-from .text_arrays import mix, powers, text_buffers
+from .text_arrays import mix, powers, slices, text_buffers
 
 #: Bytes of a string and of a gram; a seed is the gram of up to SPREAD strings.
 LENGTH, GRAM = 100, 50
@@ -40,6 +40,8 @@ SPREAD = LENGTH - GRAM + 1
 PART = 1 << 20
 #: Owners of a key that may meet in one suffix array, and bytes of a text for one suffix array.
 GROUP, TEXT = 256, 1 << 13
+#: How many times the segments of every gram are split by the offset of the seed before they meet.
+HALVINGS = 2
 #: Bits of the filter of repeated grams, 8 MiB at every size of the input; filling up, it lets more grams through.
 FILTER_BITS = 1 << 26
 
@@ -152,27 +154,31 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(key, n) of the grams that are seeds, counted within a batch."""
+    """(key, n, least, most): segments of each gram in a batch, and the least and greatest hash of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for b in batches if b.num_rows):
-            keys = [seeds(b)[3] for b in _texts(batch.column(0))]
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            found = [seeds(b)[3:] for b in _texts(batch.column(0))]
+            key, own = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            order = np.lexsort((own, key))
+            key, own = key[order], own[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            last = np.append(first[1:], len(key))[: len(first)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(last - first + 1), pa.array(own[first]), pa.array(own[last])], names=["key", "n", "least", "most"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint, least bigint, most bigint")
 
 
-def repeated_grams(docs: DataFrame) -> np.ndarray:
-    """One bit for each value of the lowest bits of a gram's hash, set where a gram is the seed of two segments."""
-    twice = gram_counts(docs).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+def repeated_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables with a bit for each value of the lowest bits of a gram's hash: seed of two segments, of two that differ."""
+    total = gram_counts(docs).groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).filter("n > 1")
     slot = F.pmod("key", F.lit(FILTER_BITS)) + 1
-    bits = twice.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # FILTER_BITS bits at most
-        at = (r.bucket - 1) * len(r.bits)
-        table[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
-    return table
+    bits = total.select((F.col("least") != F.col("most")).alias("differ"), F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    twice, differ = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.groupBy("bucket", "differ").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 2 * FILTER_BITS bits at most
+        for table in (twice, differ) if r.differ else (twice,):
+            table[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return twice, differ
 
 
 def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -181,25 +187,32 @@ def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def segments(docs: DataFrame, sent) -> DataFrame:
-    """Segments whose gram passes the filter: their gram, hash, document, start, strings, offset of the seed, and bytes."""
+    """Segments of grams seen twice: gram, hash, document, start, strings, offset of the seed, and bytes if segments of the gram differ."""
     schema = "key bigint, segment bigint, doc_id bigint, text_key bigint, start bigint, many int, lead int, bytes binary"
 
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        twice, differ = sent.value
+        cols, content = [], []
+        for k, b in enumerate(_texts(batch.column(2))):
+            start, many, seed, gram, own = seeds(b)
+            keep = _passes(twice, gram)
+            start, many, gram = start[keep], many[keep], gram[keep]
+            size = np.where(_passes(differ, gram), many + LENGTH - 1, 0)
+            cols.append((gram.view(np.int64), own[keep].view(np.int64), start, many.astype(np.int32), (seed[keep] - start).astype(np.int32), np.full(len(start), k), size))
+            content.append(b[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        key, own, start, many, lead, k, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        absent = np.packbits(size > 0, bitorder="little")
+        content = pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(absent.tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(content).tobytes())])
+        at = pa.array(k)
+        arrays = [pa.array(key), pa.array(own), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(many), pa.array(lead), content]
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in (b for b in batches if b.num_rows):
-            cols, owner, content = [], [], []
-            for k, b in enumerate(_texts(batch.column(2))):
-                start, many, seed, gram, own = seeds(b)
-                keep = _passes(table, gram)
-                start, many = start[keep], many[keep]
-                cols.append((gram[keep].view(np.int64), own[keep].view(np.int64), start, many.astype(np.int32), (seed[keep] - start).astype(np.int32)))
-                owner.append(np.full(len(start), k))
-                raw = b.tobytes()
-                content += [raw[s:e] for s, e in zip(start.tolist(), (start + many + LENGTH - 1).tolist(), strict=True)]
-            key, own, start, many, lead = (np.concatenate(x) for x in zip(*cols, strict=True))
-            at = pa.array(np.concatenate(owner))
-            arrays = [pa.array(key), pa.array(own), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(many), pa.array(lead), pa.array(content, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+        for batch in batches:
+            _, borders = text_buffers(batch.column(2))
+            for lo, hi in slices(borders):
+                yield found(batch.slice(lo, hi - lo))
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
@@ -228,14 +241,19 @@ def halves(rows: DataFrame) -> DataFrame:
 
 
 def groups_of_owners(rows: DataFrame, group: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Owners that meet under one key, at most ``group`` of them, and the repeats found while larger groups were split."""
+    """Owners that meet under one key, at most ``group`` of them, and the repeats found while groups were split.
+
+    All groups are split HALVINGS times, which parts segments that share too little, and those that are still too large again.
+    """
     rows = rows.withColumns({"low": F.lit(0), "high": F.lit(SPREAD - 1)})
-    meet, repeats = [], []
+    meet, repeats, level = [], [], 0
     while True:
         sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-        meet.append(rows.join(sizes.filter(F.col("n") <= group).select("key"), "key").select("key", "doc_id", "text_key", "start", "many", "bytes"))
-        large = sizes.filter(F.col("n") > group).select("key")
-        if large.isEmpty():
+        most, level = (group if level >= HALVINGS else 1), level + 1
+        if most > 1:
+            meet.append(rows.join(sizes.filter(F.col("n") <= most).select("key"), "key").select("key", "doc_id", "text_key", "start", "many", "bytes"))
+        large = sizes.filter(F.col("n") > most).select("key")
+        if most > 1 and large.isEmpty():
             return meet, repeats
         split = staged(halves(rows.join(large, "key")))
         rows = staged(owners(split, ["key"]))
@@ -304,6 +322,22 @@ def repeats_of_groups(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- documents
 
 
+def _marks(docs: DataFrame, sent, group: int) -> DataFrame:
+    """(d, t, marks) of each document: starts of the segments it owns (0 strings) and its repeats among them (start, strings).
+
+    Shuffle files and tables of a step go with its scratch, so that steps do not add up on disk.
+    """
+    with scratch(docs.sparkSession):
+        found = staged(owners(segments(docs, sent), ["key"]), keep=True)
+    meet, repeats = groups_of_owners(found, group)
+    repeats += [repeats_of_groups(rows) for rows in meet]
+    marks = found.select("doc_id", "text_key", "start", F.lit(0).alias("many"))  # an owner: no repeat in itself
+    for more in repeats:
+        marks = marks.unionByName(more)
+    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "many")).alias("marks"))
+    return staged(marks.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), keep=True)
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<begin, end>>, kept binary) for each row of ``df``: its text without repeats.
 
@@ -317,36 +351,37 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     with scratch(spark):
         sent = spark.sparkContext.broadcast(repeated_grams(docs))
     with scratch(spark):
-        found = staged(owners(segments(docs, sent), ["key"]))
-        meet, repeats = groups_of_owners(found, group)
-        repeats += [repeats_of_groups(rows) for rows in meet]
-        for more in repeats[1:]:
-            repeats[0] = repeats[0].unionByName(more)
-        marks = found.select("doc_id", "text_key", "start", F.lit(0).alias("many")).unionByName(repeats[0])  # an owner: no repeat in itself
-        marks = marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "many")).alias("marks"))
-        marks = staged(marks.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), keep=True)
+        marks = _marks(docs, sent, group)
     rows = docs.join(marks, F.expr("doc_id <=> d AND text_key = t"), "left").select("doc_id", "text", "marks")
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary"
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        twice, _ = sent.value
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for b, marks in zip(_texts(batch.column(1)), batch.column(2), strict=True):
+            lists = batch.column(2)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            all_starts, all_many = (lists.flatten().field(k).to_numpy() for k in range(2))
+            for k, b in enumerate(_texts(batch.column(1))):
+                own, more = (x[ends[k - 1] if k else 0 : ends[k]] for x in (all_starts, all_many))
                 start, many, _, gram, _ = seeds(b)
-                keep = _passes(table, gram)
+                keep = _passes(twice, gram)
                 start, many = start[keep], many[keep]
-                if marks.is_valid:
-                    own, more = (marks.values.field(k).to_numpy() for k in range(2))
-                    other = ~np.isin(start, own[more == 0])
+                if len(own):
+                    owner = np.append(np.sort(own[more == 0]), -1)
+                    other = owner[np.searchsorted(owner[:-1], start)] != start
                     start, many = np.concatenate([start[other], own[more > 0]]), np.concatenate([many[other], more[more > 0]])
-                edge = np.zeros(len(b) + 2, np.int64)
-                np.add.at(edge, start + 1, 1)
-                np.add.at(edge, start + many + LENGTH, -1)
-                gone = np.cumsum(edge) > 0  # with one place before and after the text
-                borders = np.flatnonzero(gone[1:] != gone[:-1])
                 sizes.append(len(b))
+                if not len(start):
+                    spans.append([])
+                    kept.append(b.tobytes())
+                    continue
+                edge = np.zeros(len(b) + 2, np.int16)  # ranges are disjoint as starts, so no place has two of either kind
+                edge[start + 1] += 1
+                edge[start + many + LENGTH] -= 1
+                gone = np.cumsum(edge, dtype=np.int32) > 0  # with one place before and after the text
+                borders = np.flatnonzero(gone[1:] != gone[:-1])
                 spans.append([{"begin": x, "end": y} for x, y in zip(borders[::2].tolist(), borders[1::2].tolist(), strict=True)])
                 kept.append(b[~gone[1:-1]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
