@@ -1,4 +1,4 @@
-"""Tree and logistic learners of MLlib behind the same fold-safe preprocessing."""
+"""Tree learners of MLlib and logistic models behind the same fold-safe preprocessing."""
 from __future__ import annotations
 
 import hashlib
@@ -6,14 +6,13 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip_probability, finite
+from ..functions.numeric import finite
+from . import logistic
 from .linear import Prepared, prepared_value
 
 # Search spaces of the tree models.
@@ -32,13 +31,6 @@ def boosted(seed: int = 0, **params) -> GBTRegressor:
     return GBTRegressor(featuresCol="x", labelCol="z", seed=seed, **params)
 
 
-def logistic(c: float, n: float, weighted: bool = False) -> LogisticRegression:
-    """L2-penalised logistic model with inverse strength ``c`` over ``n`` training rows."""
-    lr = LogisticRegression(featuresCol="x", labelCol="z", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-9)
-    return lr.setWeightCol("w") if weighted else lr
-
-
 def draw_params(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
     """Random search: ``n_iter`` distinct parameter sets picked by hash order of the whole grid."""
     grid = [{}]
@@ -99,22 +91,18 @@ def oof_regressor(rows: DataFrame, fold: str, k: int, features: Sequence[str], t
 def predict_probability(train: DataFrame, rows: DataFrame, features: Sequence[str], flag: str, prep: Prepared, c: float,
                         keep: Sequence[str], balanced: bool = False) -> DataFrame:
     """Failure probability; a training set with one class predicts that class's share."""
-    f = F.col(flag).cast("double")
-    n, pos = train.agg(F.count("*"), F.sum(f)).first()
-    if n == 0 or pos in (0, n, None):
-        return rows.select(*keep, clip_probability(F.lit(float(pos or 0) / max(n, 1))).alias("p_fail"))
-    data = assemble(train, features, prep, f)
-    if balanced:
-        data = data.withColumn("w", F.when(F.col("z") == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos)))))
-    model = logistic(c, n, balanced).fit(data)
-    out = model.transform(assemble(rows, features, prep, keep=keep))
-    return out.select(*keep, clip_probability(vector_to_array("probability")[1]).alias("p_fail"))
+    problems = logistic.fit(train, features, flag, {"final": prep}, [c], balanced=balanced)
+    return logistic.predict(rows, F.lit("final"), features, problems, {"final": prep}, keep).drop("C")
+
+
+def oof_probabilities(rows: DataFrame, fold: str, k: int, features: Sequence[str], flag: str, prepared: dict[str, Prepared],
+                      cs: Sequence[float], keep: Sequence[str], balanced: bool = False) -> DataFrame:
+    """(keep..., C, p_fail) of each row by the models that did not see its fold, all folds and penalties fitted together."""
+    folds = {str(j): prepared[str(j)] for j in range(k)}
+    problems = logistic.fit(rows, features, flag, folds, cs, fold, balanced=balanced)
+    return logistic.predict(rows, F.col(fold), features, problems, folds, keep)
 
 
 def oof_probability(rows: DataFrame, fold: str, k: int, features: Sequence[str], flag: str, prepared: dict[str, Prepared],
                     c: float, keep: Sequence[str], balanced: bool = False) -> DataFrame:
-    def one(j: int) -> DataFrame:
-        train, val = rows.filter(F.col(fold) != j), rows.filter(F.col(fold) == j)
-        return predict_probability(train, val, features, flag, prepared[str(j)], c, keep, balanced)
-
-    return _union(in_parallel([lambda j=j: one(j) for j in range(k)]))
+    return oof_probabilities(rows, fold, k, features, flag, prepared, [c], keep, balanced).drop("C")

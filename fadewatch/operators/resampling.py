@@ -12,16 +12,20 @@ points. Running sums over points and chunks give what stands below and above eac
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .order_stats import _join, average_precision, quantiles, roc_auc
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes of sums that a task keeps before it passes them on; entities whose multiplicities are drawn together; rows of a
 #: chunk of the score order; resamples that a chunk handles together.
 SUMS_BYTES, DRAWN, CHUNK, TOGETHER = 64 << 20, 256, 4096, 256

@@ -8,6 +8,7 @@ from ..operators import ensemble as en
 from ..operators import groups as gr
 from ..operators import learners as ln
 from ..operators import linear as li
+from ..operators import logistic as lg
 from ..operators import metrics as mt
 from ..operators import reports as rp
 from ..operators import robustness as rb
@@ -132,6 +133,31 @@ def logistic_out_of_fold(spark, sf):
     return ln.oof_probability(m, "fold", 5, X, "flag", prep, 1.0, ["cell_id", "flag"])
 
 
+_CAL_C = [0.01, 1.0, 100.0]
+
+
+@query("M12 M13 M18 M19", f"""WITH {MATRIX_SQL}, s(split) AS (VALUES ('0'), ('1'), ('2'), ('3'), ('4'), ('final')), c(C) AS (VALUES (0.01::DOUBLE), (1.0), (100.0))
+  SELECT split, C, count(*) AS n, avg(flag::INTEGER) AS mean_p, 0.5::DOUBLE AS balanced_mean, 0.0::DOUBLE AS gradient FROM fm, s, c WHERE fold::VARCHAR <> split GROUP BY split, C""",
+       "C mean_p balanced_mean gradient", 4)
+def logistic_calibration(spark, sf):
+    """All folds, the full set and three penalties in one fit: at the optimum the mean probability of the training rows is
+    their share of positives (one half with balanced weights), and the penalised gradient is zero."""
+    m = features_matrix(spark, sf)
+    train = li.training_rows(m, "fold", 5)
+    prep = li.prepare(train, X, "y")
+    out = []
+    for balanced in (False, True):
+        problems = lg.fit(m, X, "flag", prep, _CAL_C, "fold", balanced=balanced)
+        p = lg.predict(train, F.col("split"), X, problems, prep, ["split", "flag"])
+        if not balanced:
+            out.append(p.groupBy("split", "C").agg(F.count("*").alias("n"), F.avg("p_fail").alias("mean_p")))
+            g = spark.createDataFrame([(q.split, q.c, q.gradient) for q in problems], "split string, C double, gradient double")
+        else:
+            mean = lambda v: F.sum(F.when(F.col("flag") == v, F.col("p_fail"))) / F.sum((F.col("flag") == v).cast("int"))  # noqa: B023, E731
+            out.append(p.groupBy("split", "C").agg(((mean(True) + mean(False)) / 2).alias("balanced_mean")))
+    return out[0].join(out[1], ["split", "C"]).join(g, ["split", "C"])
+
+
 @query("M13")
 def balanced_logistic(spark, sf):
     m = features_matrix(spark, sf)

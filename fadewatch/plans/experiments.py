@@ -238,11 +238,11 @@ def classifier_outer_fold(
     best = None
     for fs, features in feature_sets.items():
         prep = li.prepare(li.training_rows(train, fold, k), features, target, st.winsor)
+        every = materialize(ln.oof_probabilities(train, fold, k, features, "early_failure", prep, st.nested_logistic_c, [key, "early_failure"]))
+        losses = {r["C"]: r["log_loss"] for r in mt.brier_logloss(every, ["C"], "p_fail", "early_failure").collect()}  # one row for each penalty
         for c in st.nested_logistic_c:
-            oof = materialize(ln.oof_probability(train, fold, k, features, "early_failure", prep, c, [key, "early_failure"]))
-            loss = mt.brier_logloss(oof, [], "p_fail", "early_failure").first()["log_loss"]
-            if best is None or loss < best[0]:
-                best = (loss, f"logit_C{c:g}_{fs}", features, prep, c, oof)
+            if best is None or losses[c] < best[0]:
+                best = (losses[c], f"logit_C{c:g}_{fs}", features, prep, c, every.filter(F.col("C") == c).drop("C"))
     loss, name, features, prep, c, oof = best
     p = ln.predict_probability(train, test, features, "early_failure", prep["final"], c, [key, target, "early_failure"])
     sets = pl.fail_pass_sets(oof, p, [], "p_fail", "early_failure", st.alphas)
@@ -259,11 +259,12 @@ def balanced_logistic(spark: SparkSession, train: DataFrame, test: DataFrame, ke
 
     prep = li.prepare(li.training_rows(train, fold, k), features, target, probs)
     best = None
+    every = materialize(ln.oof_probabilities(train, fold, k, features, flag, prep, cs, [key, flag, fold], balanced=True))
+    per_fold = roc_auc(every, ["C", fold], "p_fail", flag).groupBy("C").agg(F.avg("roc_auc").alias("auc"))
+    aucs = {r["C"]: r["auc"] or 0.0 for r in per_fold.collect()}  # one row for each penalty
     for c in cs:
-        oof = materialize(ln.oof_probability(train, fold, k, features, flag, prep, c, [key, flag, fold], balanced=True))
-        auc = roc_auc(oof, [fold], "p_fail", flag).agg(F.avg("roc_auc")).first()[0]
-        if best is None or (auc or 0.0) > best[0]:
-            best = (auc or 0.0, c, oof)
+        if best is None or aucs[c] > best[0]:
+            best = (aucs[c], c, every.filter(F.col("C") == c).drop("C"))
     return best[1], best[2], ln.predict_probability(train, test, features, flag, prep["final"], best[1], [key, flag], balanced=True)
 
 
