@@ -19,7 +19,7 @@ from .bindings import (
     features_matrix, phi_rows, preds, query, resamples_sql, series, table,
 )
 from ..operators.features import FEATURE_SETS, build_features
-from .catalog_eval import _HASH, _METRICS
+from .catalog_eval import _HASH, _METRICS, _fold_sql
 from .catalog_series import _set_sql
 
 X = ["x1", "x2", "x3", "x4", "x5"]
@@ -218,6 +218,26 @@ def nested_life_intervals(spark, sf):
     return out["intervals"].select("repeat", "outer_fold", "cell_id", "reg_role", "model", "life", "y_pred", "lo", "hi", "early_failure")
 
 
+@query("Q6 M12 M20 R4", f"""WITH all_{CELLS_SQL}, cells AS (SELECT * FROM all_cells WHERE cell_id IN (SELECT o_custkey FROM orders)),
+  rep AS (SELECT cell_id, life, r AS repeat FROM cells, range(2) t(r)), {_fold_sql('fd', 'rep', 3, '314 + repeat', 'repeat')}
+  SELECT repeat::INTEGER AS repeat, fold AS outer_fold, count(*) AS n_test, count(*) FILTER (life <= 4000) AS n_failures, 2 * count(*) AS n_decisions, 16::BIGINT AS n_problems, 0.0::DOUBLE AS gradient
+  FROM fd GROUP BY ALL""", "gradient", 4)
+def nested_classifiers(spark, sf):
+    """All outer folds in one fit: test rows and set decisions of each, its problems, and the largest penalised gradient."""
+    rows = cells(spark, sf).join(
+        table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cell_id")).agg(F.avg("o_totalprice").alias("spend"), F.count("*").cast("double").alias("n")), "cell_id"
+    ).select("cell_id", "life", "spend", "n")
+    nested = sp.nested_folds(rows.select("cell_id", "life"), "cell_id", "life", 3, 2, 314)
+    st = ex.Settings(nested_logistic_c=(0.1, 1.0), failure_threshold=4000.0, alphas=(0.05, 0.2))
+    out = ex.classifier_outer_folds(spark, rows, nested, "cell_id", "life", {"C": ["spend"], "D": ["spend", "n"]}, st, 3)
+    by = ["repeat", "outer_fold"]
+    test = out["probabilities"].groupBy(*by).agg(F.count("*").alias("n_test"), F.count_if("early_failure").alias("n_failures"))
+    sets = out["sets"].groupBy(*by).agg(F.count("*").alias("n_decisions"))
+    part = F.split("split", "/")
+    problems = out["problems"].groupBy(part[0].cast("int").alias("repeat"), part[1].cast("int").alias("outer_fold")).agg(F.count("*").alias("n_problems"), F.max("gradient").alias("gradient"))
+    return test.join(sets, by).join(problems, by)
+
+
 @query("Q5 Q6 M20")
 def nested_classifier_sets(spark, sf):
     m = features_matrix(spark, sf)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ensemble as en
 from ..operators import learners as ln
 from ..operators import linear as li
+from ..operators import logistic as lg
 from ..operators import metrics as mt
 from ..operators import policy as pl
 from ..operators.robustness import change_from_baseline, condition_summary, mask_missing
@@ -252,6 +253,44 @@ def classifier_outer_fold(
     return {"probabilities": p, "sets": sets, "alarms": flags, "choice": choice}
 
 
+def classifier_outer_folds(
+    spark: SparkSession, rows: DataFrame, nested: DataFrame, key: str, target: str, feature_sets: dict[str, Sequence[str]], st: Settings, k: int,
+) -> dict[str, DataFrame]:
+    """Early-failure classifiers of all outer folds at once: log-loss selection on inner folds, probabilities, sets, alarms.
+
+    ``nested`` is the output of ``nested_folds``. One Newton iteration serves every (repeat, outer fold, inner fold or
+    final, penalty); 'problems' lists the penalised gradient that each of them ends with.
+    """
+    tag = ["repeat", "outer_fold"]
+    outer = F.concat_ws("/", *[F.col(c).cast("string") for c in tag])
+    full = materialize(nested.withColumn("outer", outer).join(rows, [key, target]).withColumn("early_failure", F.col(target) <= st.failure_threshold))
+    train, test = full.filter("role = 'train'"), full.filter("role = 'test'")
+    inner = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: s != F.col("inner_fold")).cast("array<string>")
+    splits = train.withColumn("s", F.explode(F.concat(inner, F.array(F.lit("final"))))).withColumn(li.SPLIT, F.concat_ws("/", "outer", "s"))
+    keep = [key, target, *tag, "early_failure"]
+    oof_parts, test_parts, order, solved = [], [], [], []
+    for fs, features in feature_sets.items():
+        prep = li.prepare(splits.select(li.SPLIT, target, *features), features, target, st.winsor)
+        problems = lg.fit(train, features, "early_failure", prep, st.nested_logistic_c, "inner_fold", "outer")
+        names = {float(c): f"logit_C{c:g}_{fs}" for c in st.nested_logistic_c}
+        order += names.values()
+        named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("C")].alias("model")
+        for parts, data, inner_split in ((oof_parts, train, F.col("inner_fold").cast("string")), (test_parts, test, F.lit("final"))):
+            parts.append(lg.predict(data, F.concat_ws("/", "outer", inner_split), features, problems, prep, keep).select(*keep, named, "p_fail"))
+        solved += [(q.split, names[q.c], q.gradient, q.constant) for q in problems]
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    oof, tst = materialize(union(oof_parts)), union(test_parts)
+    scores = mt.brier_logloss(oof, [*tag, "model"], "p_fail", "early_failure")
+    chosen = li.best_candidate(scores, tag, "log_loss", order)
+    pick = lambda df: df.join(chosen.select(*tag, "model"), [*tag, "model"])
+    oof_best, test_best = materialize(pick(oof)), materialize(pick(tst))
+    sets = pl.fail_pass_sets(oof_best, test_best, tag, "p_fail", "early_failure", st.alphas)
+    score = lambda df: df.withColumn("score", -F.col("p_fail"))
+    flags = pl.alarms_by_recall(score(oof_best), score(test_best), tag, "score", "early_failure", st.alarm_recalls)
+    table = spark.createDataFrame(solved, "split string, model string, gradient double, constant double")
+    return {"selection": chosen, "probabilities": test_best, "sets": sets, "alarms": flags, "problems": table}
+
+
 def balanced_logistic(spark: SparkSession, train: DataFrame, test: DataFrame, key: str, flag: str, target: str, features: Sequence[str],
                       fold: str, k: int, cs: Sequence[float] = ln.LOGISTIC_BALANCED_C, probs=(0.01, 0.99)) -> tuple[float, DataFrame, DataFrame]:
     """Class-balanced logistic model with the penalty chosen by mean fold ROC-AUC: (C, out-of-fold, test probabilities)."""

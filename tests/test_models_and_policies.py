@@ -145,6 +145,33 @@ def test_logistic_matches_newton_and_one_class_training(spark, matrix):
     assert {r.p_fail for r in ln.predict_probability(one, df, ["a", "b"], "flag", prep, 1.0, ["cell_id"]).collect()} == {1 - 1e-6}
 
 
+def test_all_outer_classifiers_equal_one_at_a_time(spark):
+    from fadewatch.operators import splits as sp
+    from fadewatch.plans import experiments as ex
+
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=160), rng.normal(size=160)
+    life = np.exp(6.5 + 0.5 * a + 0.3 * rng.normal(size=160))
+    rows = spark.createDataFrame([(i, float(life[i]), float(a[i]), float(b[i]) if i % 9 else None) for i in range(160)], "cell_id int, life double, a double, b double")
+    nested = sp.nested_folds(rows.select("cell_id", "life"), "cell_id", "life", 3, 2, 5)
+    st = ex.Settings(nested_logistic_c=(0.1, 10.0), failure_threshold=600.0)
+    sets = {"A": ["a"], "B": ["a", "b"]}
+    out = ex.classifier_outer_folds(spark, rows, nested, "cell_id", "life", sets, st, 3)
+    problems = out["problems"].collect()
+    assert len(problems) == 2 * 3 * (3 + 1) * 2 * 2 and max(r.gradient for r in problems) < 1e-6
+    chosen = {(r.repeat, r.outer_fold): r for r in out["selection"].collect()}
+    got = {(r.repeat, r.outer_fold, r.cell_id, r.alpha): (r.p_fail, r.fail_in_set, r.pass_in_set) for r in out["sets"].collect()}
+    part = nested.filter("repeat = 1 AND outer_fold = 2").join(rows, ["cell_id", "life"]).withColumnRenamed("inner_fold", "fold")
+    one = ex.classifier_outer_fold(spark, part.filter("role = 'train'"), part.filter("role = 'test'"), "cell_id", "life", sets, "fold", st, 3)
+    choice = one["choice"].first()
+    assert (choice.clf_choice, choice.clf_inner_logloss) == (chosen[1, 2].model, pytest.approx(chosen[1, 2].log_loss))
+    want = one["sets"].collect()
+    assert len(want) == sum(k[:2] == (1, 2) for k in got)
+    for r in want:
+        p, fail, ok = got[1, 2, r.cell_id, r.alpha]
+        assert (p, fail, ok) == (pytest.approx(r.p_fail), r.fail_in_set, r.pass_in_set)
+
+
 def test_simplex_weights(spark):
     rng = np.random.default_rng(0)
     y = rng.uniform(300, 2000, 200)
