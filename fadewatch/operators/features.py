@@ -18,7 +18,7 @@ from ..functions.batch import spike_free
 from ..functions.numeric import EPS, finite, in_range_or_null, ln_eps, log10_abs, positive_or_null, ratio, zero_if_missing
 from ..functions.series import fill_gaps
 from ..schema import SET_A, SIGNALS, assert_feature_inputs
-from .windows import require_cycles
+from .windows import ShortHistoryError
 
 REF = 1          # cycle 2 is the reference cycle
 LEVEL_SPAN = 5   # cycles of an end level
@@ -53,23 +53,35 @@ def critical_cycles(horizon: int) -> tuple[int, int, int]:
 
 # ---------------------------------------------------------------- series
 
-def series_rows(signals: DataFrame, horizons: Sequence[int], nominal: Column | float = 1.1, every: int = 1) -> DataFrame:
+#: Signals that can be cleaned: range or sign rule, spike filter and interpolation for the first three, spike filter for all.
+CLEANED = ("qd", "qc", "ir", "v_dis_avg", "e_dis", "t_chg", "t_dis", "t_cv", "temp_max")
+
+
+def series_rows(
+    signals: DataFrame, horizons: Sequence[int], nominal: Column | float = 1.1, every: int = 1, cleaned: Sequence[str] = CLEANED, strict: bool = False,
+) -> DataFrame:
     """Raw and cleaned signals, one row per (entity, horizon, retained cycle).
 
     Cleaned columns: ``cl_qd``, ``cl_qc``, ``cl_ir`` (range or sign rule, spike
-    filter, in-window interpolation) and ``hp_*`` (spike filter only). Only
-    entities that recorded all cycles of a horizon get rows for it.
+    filter, in-window interpolation) and ``hp_*`` (spike filter only), for the
+    signals named in ``cleaned``. Only entities that recorded all cycles of a
+    horizon get rows for it; with ``strict`` an entity without all cycles of the
+    longest one raises when the rows are computed.
     """
     assert_feature_inputs(signals)
     top = max(horizons)
     nominal = nominal if isinstance(nominal, Column) else F.lit(float(nominal))
-    early = signals.filter(F.col("cycle_idx") < top).select(
+    inside = F.col("cycle_idx") < top
+    early = (signals if strict else signals.filter(inside)).select(
         "cell_id", "cycle_idx", nominal.alias("__nominal"), *[finite(s).alias(s) for s in SIGNALS]
     )
     per_cell = early.groupBy("cell_id").agg(
         F.max("__nominal").alias("__nominal"),
-        F.sort_array(F.collect_list(F.struct("cycle_idx", *SIGNALS))).alias("__rows"),
+        F.sort_array(F.collect_list(F.when(inside, F.struct("cycle_idx", *SIGNALS)))).alias("__rows"),
     )
+    if strict:
+        short = F.raise_error(F.concat(F.lit(f"fewer than {top} cycles: cell "), F.col("cell_id").cast("string")))
+        per_cell = per_cell.withColumn("__rows", F.when(F.size("__rows") >= top, F.col("__rows")).otherwise(short.cast(per_cell.schema["__rows"].dataType)))
     ts = F.array(*[F.lit(int(t)) for t in sorted(set(horizons))])
     windows = (
         per_cell.withColumn("T", F.explode(F.filter(ts, lambda t: t <= F.size("__rows"))))
@@ -87,9 +99,9 @@ def series_rows(signals: DataFrame, horizons: Sequence[int], nominal: Column | f
             **{f"__{s}": take(s) for s in ("v_dis_avg", "e_dis", "t_chg", "t_dis", "t_cv", "temp_max")},
         }
     )
-    filtered = ["qd", "qc", "ir", "v_dis_avg", "e_dis", "t_chg", "t_dis", "t_cv", "temp_max"]
+    filtered = list(cleaned)
     windows = windows.withColumns({f"__{s}": spike_free(f"__{s}") for s in filtered})
-    windows = windows.withColumns({f"__{s}": fill_gaps("__idx", f"__{s}") for s in ("qd", "qc", "ir")})
+    windows = windows.withColumns({f"__{s}": fill_gaps("__idx", f"__{s}") for s in filtered if s in ("qd", "qc", "ir")})
     names = {s: ("cl_" if s in ("qd", "qc", "ir") else "hp_") + s for s in filtered}
     zipped = F.arrays_zip(F.col("__rows").alias("raw"), *[F.col(f"__{s}").alias(names[s]) for s in filtered])
     return windows.select("cell_id", "T", F.explode(zipped).alias("z")).select(
@@ -311,20 +323,23 @@ def build_features(
 ) -> DataFrame:
     """Feature matrix of one set: (cell_id, T, features...), all horizons in one pass.
 
-    An entity without all cycles of every horizon raises; with ``short='drop'``
-    it has rows for the horizons it covers only.
+    An entity without all cycles of every horizon raises when the matrix is
+    computed (no job runs before); with ``short='drop'`` it has rows for the
+    horizons it covers only.
     ``every`` > 1 keeps cycles 0, k, 2k, ... only. Non-finite values become
     NULL; set A reports 0 instead.
     """
     if feature_set not in FEATURE_SETS:
         raise KeyError(f"unknown feature set {feature_set!r}; known: {sorted(FEATURE_SETS)}")
-    if short == "fail":
-        require_cycles(signals, horizons, every)
+    if short not in ("fail", "drop"):
+        raise ValueError("short is 'fail' or 'drop'")
+    if short == "fail" and -(-min(horizons) // every) < 2:
+        raise ShortHistoryError(f"{min(horizons)} cycles leave fewer than two of every {every}")
     series = set_a_series() if feature_set == "A" else set_b_series()
     if feature_set in ("C", "D"):
         series.update(set_c_series())
     names = FEATURE_SETS[feature_set]
-    rows = series_rows(signals, horizons, nominal, every)
+    rows = series_rows(signals, horizons, nominal, every, () if feature_set == "A" else CLEANED, short == "fail")
     out = rows.groupBy("cell_id", "T").agg(*[e.alias(n) for n, e in series.items()])
     curve_names = [n for n in names if n not in series]
     shape = curve_features(

@@ -8,6 +8,7 @@ from fadewatch.functions.batch import spike_free
 from fadewatch.functions.series import fill_gaps
 from fadewatch.operators import features as ft
 from fadewatch.operators.signals import cycle_signals, discharge_curve
+from fadewatch.operators.windows import ShortHistoryError
 from fadewatch.schema import SIGNALS, ForbiddenInputError
 
 GRID = 1000
@@ -263,6 +264,17 @@ def test_sparse_window_equals_missing_cycles(spark, signals):
     assert a == b
 
 
+def test_short_histories_raise_when_computed(signals):
+    one = signals.select(F.min("cell_id")).first()[0]
+    for short in (signals.filter((F.col("cell_id") != one) | (F.col("cycle_idx") < 10)), signals.filter((F.col("cell_id") != one) | (F.col("cycle_idx") >= 20))):
+        for fs in "AB":
+            with pytest.raises(Exception, match="fewer than 20 cycles: cell " + str(one)):
+                ft.build_features(short, fs, [5, 20]).collect()
+            assert one not in {r.cell_id for r in ft.build_features(short, fs, [20], short="drop").collect()}
+    with pytest.raises(ShortHistoryError):
+        ft.build_features(signals, "A", [5], every=5)
+
+
 def test_feature_inputs_refuse_labels(signals):
     with pytest.raises(ForbiddenInputError):
         ft.series_rows(signals.withColumn("label", F.lit(1.0)), [20])
