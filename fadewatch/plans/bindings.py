@@ -292,11 +292,11 @@ MATRIX_SQL = """fm AS (
 
 def resamples_sql(ids: str, seed: int, n_boot: int) -> str:
     """Table bw (b, cell_id, w): the multiplicities of each entity of table ``ids`` in every resample, in 64-bit integer steps."""
-    product = lambda x, c: f"(({x})::UHUGEINT * {c}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    product = lambda x, c: f"(({x})::UHUGEINT * {c}::UHUGEINT & 18446744073709551615::UHUGEINT)::UBIGINT"
     w = " + ".join(f"(z >= {t})::INTEGER" for t in poisson_thresholds())
     return f"""bits AS MATERIALIZED (SELECT cell_id, ('0x' || substr(md5('{seed},' || cell_id), 1, 15))::UBIGINT::UHUGEINT AS h FROM {ids}),
-  steps AS MATERIALIZED (SELECT b::INTEGER AS b, (b + 1)::UHUGEINT * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT AS s FROM range({n_boot}) t(b)),
-  bw0 AS (SELECT cell_id, b, ((h + s) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM bits, steps),
+  steps AS MATERIALIZED (SELECT b::INTEGER AS b, (b + 1)::UHUGEINT * 11400714819323198485::UHUGEINT & 18446744073709551615::UHUGEINT AS s FROM range({n_boot}) t(b)),
+  bw0 AS (SELECT cell_id, b, ((h + s) & 18446744073709551615::UHUGEINT)::UBIGINT AS z FROM bits, steps),
   bw1 AS (SELECT cell_id, b, {product("xor(z, z >> 30)", 13787848793156543929)} AS z FROM bw0),
   bw2 AS (SELECT cell_id, b, {product("xor(z, z >> 27)", 10723151780598845931)} AS z FROM bw1),
   bw3 AS (SELECT cell_id, b, xor(z, z >> 31) >> 11 AS z FROM bw2),

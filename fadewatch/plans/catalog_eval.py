@@ -205,10 +205,13 @@ def bootstrap_draws(spark, sf):
     return w.groupBy("b").agg(F.count_if(F.col("w") > 0).alias("n_drawn"), F.sum("w").alias("n_draws"), F.max("w").alias("most"), F.sum(F.col("w") * F.col("cell_id")).alias("check_sum"))
 
 
+_RUNS = [(m, k) for m in MODELS for k in (0, 1)]
+
+
 @query("R6", f"""WITH {PREDS_SQL}, ids AS (SELECT DISTINCT cell_id FROM preds), {resamples_sql('ids', 0, 2000)},
-  e AS (SELECT cell_id, model, seed, (y_pred - y_true) * (y_pred - y_true) AS se FROM preds),
-  pb AS (SELECT b, model, seed, sqrt(sum(w * se) / sum(w)) AS r FROM e JOIN bw USING (cell_id) GROUP BY ALL),
-  pm AS (SELECT b, model, avg(r) AS r FROM pb GROUP BY ALL)
+  e AS (SELECT cell_id, {', '.join(f"max((y_pred - y_true) * (y_pred - y_true)) FILTER (model = '{m}' AND seed = {k}) AS {m}{k}" for m, k in _RUNS)} FROM preds GROUP BY cell_id),
+  pb AS (SELECT b, {', '.join(f'sqrt(sum(w * {m}{k}) / sum(w)) AS {m}{k}' for m, k in _RUNS)} FROM e JOIN bw USING (cell_id) GROUP BY b),
+  pm AS (SELECT unnest({MODELS}) AS model, unnest([{', '.join(f'({m}0 + {m}1) / 2' for m in MODELS)}]) AS r FROM pb)
   SELECT model, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM pm GROUP BY ALL""", "lo hi")
 def bootstrap_rmse_interval(spark, sf):
     return mt.bootstrap_metric_ci(preds(spark, sf), "cell_id", ["model"], n_boot=2000)
