@@ -202,11 +202,51 @@ def similar_to(x: np.ndarray, root: Node, percent: int) -> list[int]:
     return found
 
 
+def prefix_length(n: int, percent: int) -> int:
+    """N-grams at the start of a set of ``n`` of which each partner has one among its own first ones.
+
+    A partner has n * percent / 100 n-grams at least, and the overlap it needs leaves fewer than this many out.
+    """
+    smallest = -(-percent * n // 100)
+    return n + (-percent * (n + smallest) // (100 + percent)) + 1
+
+
+def related(sets: list[np.ndarray], percent: int) -> list[list[int]]:
+    """Sets that prefixes connect: no two similar sets are apart. Sets without a partner are left out."""
+    owner = np.repeat(np.arange(len(sets)), [prefix_length(len(s), percent) for s in sets])
+    first = np.concatenate([s[: prefix_length(len(s), percent)] for s in sets])
+    order = np.argsort(first, kind="stable")
+    first, owner = first[order], owner[order]
+    same = np.flatnonzero(first[1:] == first[:-1])
+    parent = list(range(len(sets)))
+    for a, b in np.unique(np.stack([owner[same], owner[same + 1]], axis=1), axis=0).tolist():
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        parent[max(a, b)] = min(a, b)
+    out: dict[int, list[int]] = {}
+    for k in range(len(sets)):
+        a = k
+        while parent[a] != a:
+            a = parent[a]
+        parent[k] = a
+        out.setdefault(a, []).append(k)
+    return [members for members in out.values() if len(members) > 1]
+
+
 #: Sets that are probed before the component that needs no further probes is chosen.
 FIRST_PROBES = 16
 
 
 def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all links connect; a tree holds only sets that prefixes connect."""
+    if len(sets) < 2:
+        return []
+    return [(members[a], members[b]) for members in related(sets, percent) for a, b in _links_in_tree([sets[k] for k in members], percent)]
+
+
+def _links_in_tree(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what all links connect.
 
     A link between two components has an end outside any given component. So once the largest component after a few
@@ -220,8 +260,6 @@ def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, in
             k = parent[k]
         return k
 
-    if len(sets) < 2:
-        return []
     root, links, chosen = prefix_tree(sets), [], None
     for x in range(len(sets)):
         if chosen is None and (x == FIRST_PROBES or max(size) * 2 > len(sets)):

@@ -83,6 +83,28 @@ def test_prefix_tree_finds_all_and_links_connect():
         assert all(top[i] == top[j] for i in range(60) for j in range(i) if similar(sets[i], sets[j]))
 
 
+def test_sets_without_partners_are_not_probed(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(800)]
+    probes = []
+    monkeypatch.setattr(nj, "similar_to", lambda x, root, percent, f=nj.similar_to: probes.append(1) or f(x, root, percent))
+    assert nj.connecting_links(sets, 90) == [] and not probes
+    sets += [np.unique(np.append(s[5:], s[:3] + np.uint64(1))) for s in sets[:20]]
+    links = nj.connecting_links(sets, 90)
+    assert sorted(map(sorted, links)) == [[k, 800 + k] for k in range(20)] and len(probes) <= 40
+
+
+def test_similar_sets_share_a_prefix():
+    rng = np.random.default_rng(11)
+    for percent in (60, 80, 90, 95):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            x = np.unique(rng.integers(0, 200, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([rng.permutation(x)[: max(1, len(x) - int(rng.integers(0, 4)))], rng.integers(0, 200, int(rng.integers(0, 4)), dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+                assert nj.related([x, y], percent) == [[0, 1]]
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "one"), (9, "ONE "), (10, "a b"), (11, "a b c"), (None, "a b c"), (None, "own words of a row"), (11, "a b c"), (12, "É x"), (13, "é x"), (1, "w " * 100_000)]
     assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
