@@ -1,4 +1,4 @@
-"""Partitions, leakage-safe folds and resampling of entities."""
+"""Partitions and leakage-safe folds of entities."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -6,8 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-from .order_stats import _join, with_hash_index, with_position
+from .order_stats import with_position
 
 
 class LeakageError(AssertionError):
