@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import format_fixed, format_signed, format_signed_percent, interval_text, mean_pm_std, percent_effect
+from ..functions.numeric import format_fixed, format_signed, format_signed_percent, interval_text, mean_pm_std, number_text, percent_effect
 from .policy import outcome
 
 
@@ -26,7 +26,7 @@ def main_benchmark(test: DataFrame, oof: DataFrame, ci: DataFrame, final: str) -
     cv = oof.select("model", F.col("RMSE_mean").alias("cv_mean"), F.col("RMSE_std").alias("cv_std"))
     t = test.join(ci.select("model", "lo", "hi"), "model", "left").join(cv, "model", "left")
     return t.select(
-        star.alias("Model"), mean_pm_std("RMSE_mean", "RMSE_std").alias("RMSE"), F.format_string("[%.0f, %.0f]", "lo", "hi").alias("CI95"),
+        star.alias("Model"), mean_pm_std("RMSE_mean", "RMSE_std").alias("RMSE"), F.concat(F.lit("["), number_text("lo", 0), F.lit(", "), number_text("hi", 0), F.lit("]")).alias("CI95"),
         mean_pm_std("MAE_mean", "MAE_std").alias("MAE"), mean_pm_std("MedAE_mean", "MedAE_std").alias("MedAE"),
         format_fixed("R2_mean", 3).alias("R2"), format_signed("Bias_mean").alias("Bias"), format_fixed("nRMSE_mean", 3).alias("nRMSE"),
         format_fixed(100 * F.col("MAPE_mean"), 1).alias("MAPE_pct"), mean_pm_std("cv_mean", "cv_std").alias("CV_RMSE"),
@@ -42,7 +42,7 @@ def baseline_reproduction(ours: DataFrame, published: DataFrame) -> DataFrame:
 
 def paired_table(comparisons: DataFrame) -> DataFrame:
     return comparisons.select(
-        "versus", format_signed("dRMSE").alias("d_rmse"), F.format_string("[%+.1f, %+.1f]", "dRMSE_lo", "dRMSE_hi").alias("ci95"),
+        "versus", format_signed("dRMSE").alias("d_rmse"), F.concat(F.lit("["), number_text("dRMSE_lo", 1, True), F.lit(", "), number_text("dRMSE_hi", 1, True), F.lit("]")).alias("ci95"),
         format_fixed("share_below_zero", 2).alias("p_below_zero"), format_signed("dMAE").alias("d_mae"),
         format_fixed("wilcoxon_p", 3).alias("wilcoxon_p"), F.format_string("%d/%d", "cells_a_better", "n_cells").alias("cells_better"),
     )
@@ -59,20 +59,20 @@ def role_table(summary: DataFrame, roles: DataFrame, by: Sequence[str]) -> DataF
 def mean_weights(weights: DataFrame) -> DataFrame:
     """Mean member weights of each combiner over seeds as text, e.g. 'a=0.40, b=0.60'."""
     m = weights.groupBy("combiner", "model").agg(F.avg("weight").alias("w"))
-    items = F.transform(F.sort_array(F.collect_list(F.struct("model", "w"))), lambda s: F.format_string("%s=%.2f", s["model"], s["w"]))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("model", "w"))), lambda s: F.concat(s["model"], F.lit("="), number_text(s["w"], 2)))
     return m.groupBy("combiner").agg(F.array_join(items, ", ").alias("mean_weights"))
 
 
 def delta_pivot(summary: DataFrame, row: str, column: str, names: Sequence[str], mean: str, std: str) -> DataFrame:
     """'+x.x ± y.y' cells, one column per name."""
-    text = F.format_string("%+.1f ± %.1f", F.col(mean), F.coalesce(std, F.lit(0.0)))
+    text = F.concat(number_text(mean, 1, True), F.lit(" ± "), number_text(F.coalesce(std, F.lit(0.0)), 1))
     return summary.groupBy(row).pivot(column, list(names)).agg(F.first(text))
 
 
 def group_share_pivot(by_horizon: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Consensus share per mechanism group and horizon as 'share ± spread', with the mean share for ordering."""
     cell = lambda t: F.max(
-        F.when(F.col("T") == t, F.format_string("%.2f ± %.2f", "consensus_share", F.coalesce("between_model_std", F.lit(0.0))))
+        F.when(F.col("T") == t, F.concat(number_text("consensus_share", 2), F.lit(" ± "), number_text(F.coalesce("between_model_std", F.lit(0.0)), 2)))
     ).alias(f"T{t}")
     return by_horizon.groupBy("grp").agg(*[cell(t) for t in horizons], F.avg("consensus_share").alias("mean_share"))
 
@@ -88,7 +88,7 @@ def top_features(stability: DataFrame, k: int = 6) -> DataFrame:
 
 def ablation_pivot(consensus: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """'error (change)' per configuration and horizon."""
-    text = F.format_string("%.1f (%+.1f)", "cv_mae", "d_cv_mae")
+    text = F.concat(number_text("cv_mae", 1), F.lit(" ("), number_text("d_cv_mae", 1, True), F.lit(")"))
     return consensus.groupBy("config").agg(*[F.max(F.when(F.col("T") == t, text)).alias(f"T{t}") for t in horizons])
 
 
