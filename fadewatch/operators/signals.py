@@ -196,8 +196,9 @@ def discharge_curve(points: DataFrame, limits: DataFrame, keys: Sequence[str] =
 
     Each pair of neighbouring discharge points (by voltage) emits only the grid
     positions it covers, so the join is a bounded expansion and not a range
-    search. Grid positions outside the observed range are missing; a cycle with
-    at most two discharge points gives zeros. ``limits`` has ``cell_id``,
+    search. Points of one voltage follow each other by ``pt_idx``. Grid positions
+    outside the observed range are missing, its ends are inside; a cycle with at
+    most two discharge points gives zeros. ``limits`` has ``cell_id``,
     ``min_voltage_v`` and ``max_voltage_v``.
     """
     keys = list(keys)

@@ -91,12 +91,13 @@ def capacity_trajectory(spark, sf):
 
 
 @query("FX3 J7", f"""WITH {POINTS_SQL},
-  dis AS (SELECT cell_id, cycle_idx, v, qd FROM pts WHERE i < -0.1),
+  dis AS (SELECT cell_id, cycle_idx, pt_idx, v, qd FROM pts WHERE i < -0.1),
   big AS (SELECT cell_id, cycle_idx, count(*) AS n FROM dis GROUP BY ALL),
   grid AS (SELECT j, 3.0 + j * (0.8 / 39) AS v FROM range(40) g(j)),
-  ordered AS (SELECT *, lead(v) OVER (PARTITION BY cell_id, cycle_idx ORDER BY v) AS v2, lead(qd) OVER (PARTITION BY cell_id, cycle_idx ORDER BY v) AS q2 FROM dis),
+  ordered AS (SELECT *, lead(v) OVER w AS v2, lead(qd) OVER w AS q2, lag(v) OVER w AS v0 FROM dis WINDOW w AS (PARTITION BY cell_id, cycle_idx ORDER BY v, pt_idx)),
   hit AS (SELECT o.cell_id, o.cycle_idx, g.j, o.qd + (o.q2 - o.qd) * (g.v - o.v) / (o.v2 - o.v) AS q
-    FROM ordered o JOIN grid g ON g.v > o.v AND g.v <= o.v2)
+    FROM ordered o JOIN grid g ON g.v > o.v AND g.v <= o.v2
+    UNION ALL SELECT o.cell_id, o.cycle_idx, g.j, o.qd FROM ordered o JOIN grid g ON g.v = o.v WHERE o.v0 IS NULL)
   SELECT b.cell_id, b.cycle_idx, 39 - g.j AS v_idx, CASE WHEN b.n > 2 THEN h.q ELSE 0.0 END AS q
   FROM big b CROSS JOIN grid g LEFT JOIN hit h ON h.cell_id = b.cell_id AND h.cycle_idx = b.cycle_idx AND h.j = g.j""", "q", 5)
 def discharge_curve_on_grid(spark, sf):
