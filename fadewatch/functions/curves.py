@@ -147,7 +147,9 @@ def slope_peak(smoothed: Column | str, width: int = 25, margin: int = 50) -> Col
 
     Central differences (one-sided at the ends), a centred moving mean of
     ``width`` points padded with zeros, then the first maximum among the
-    positions that are at least ``margin`` away from both ends.
+    positions that are at least ``margin`` away from both ends. Voltage steps
+    come from the number of points between, not from two rounded voltages, so
+    that equal rises have equal slopes everywhere and the first of them wins.
     """
     n = F.size(col(smoothed))
     side = width // 2
@@ -157,7 +159,7 @@ def slope_peak(smoothed: Column | str, width: int = 25, margin: int = 50) -> Col
             left = F.greatest(i - 1, F.lit(0))
             right = F.least(i + 1, n - 1)
             rise = F.element_at(q, right + 1) - F.element_at(q, left + 1)
-            return -rise / (grid_voltage(right, n) - grid_voltage(left, n))
+            return -rise / ((right - left) * F.lit(GRID_LOW_V - GRID_HIGH_V) / (n - 1))
 
         return F.transform(q, at)
 
