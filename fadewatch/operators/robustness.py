@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_normal, hash_uniform
@@ -45,11 +45,13 @@ def sparse_features(signals: DataFrame, feature_set: str, horizons: Sequence[int
 
 
 def change_from_baseline(metrics: DataFrame, keys: Sequence[str], label: str, baseline: str, values: Sequence[str], prefix: str = "d") -> DataFrame:
-    """Subtract the baseline row (``label`` = ``baseline``) with the same keys from every row."""
-    base = metrics.filter(F.col(label) == baseline).groupBy(*keys).agg(*[F.first(v).alias(f"__{v}") for v in values])
-    return metrics.join(base, list(keys), "left").withColumns(
-        {f"{prefix}{v}": F.col(v) - F.col(f"__{v}") for v in values}
-    ).drop(*[f"__{v}" for v in values])
+    """Subtract the baseline row (``label`` = ``baseline``) with the same keys from every row.
+
+    A window and not a join: a join would compute the metrics twice, and sums in another order leave the baseline's own change
+    at +-1e-13, whose sign a report prints ('+0.0' or '-0.0').
+    """
+    w = Window.partitionBy(*keys)  # one row per label
+    return metrics.withColumns({f"{prefix}{v}": F.col(v) - F.max(F.when(F.col(label) == baseline, F.col(v))).over(w) for v in values})
 
 
 def condition_summary(metrics: DataFrame, values: Sequence[str] = ("RMSE", "MAE")) -> DataFrame:
