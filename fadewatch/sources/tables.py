@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, format_g
-from ..operators.splits import assert_disjoint, assert_same_ids, assert_unique
+from ..operators.splits import assert_disjoint, assert_one_row_each, assert_same_ids, assert_unique
 from ..schema import RAW_CELL
 
 
@@ -154,9 +154,7 @@ def read_features(spark: SparkSession, path: str, feature_set: str, horizon: int
     df = spark.read.option("mergeSchema", True).parquet(path).filter((F.col("feature_set") == feature_set) & (F.col("T") == horizon))
     out = df.select("cell_id", "T", *columns)
     if partition is not None:
-        assert_same_ids(out, partition, "cell_id")
-        assert_unique(out, "cell_id")
-        assert_unique(partition, "cell_id")
+        assert_one_row_each(out, partition, "cell_id")
         out = out.join(partition.select("cell_id", "partition"), "cell_id")
     return out
 

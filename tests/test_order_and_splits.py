@@ -166,3 +166,15 @@ def test_exact_signed_rank_p_values(spark):
     t = min(r.w_plus, r.w_minus)
     sums = [sum(k for k, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=7)]
     assert r.p_value == pytest.approx(min(1.0, 2 * np.mean([s <= t for s in sums])))
+
+
+def test_id_checks_join_nothing_and_name_what_is_wrong(spark):
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "cell_id long")
+    plan = sp.uncovered_ids(ids(1, 2), ids(2, 3), "cell_id")
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, sp.uncovered_ids(ids(1, 1, 2, None), ids(2, 3, None), "cell_id").collect())) == [(1, "left"), (3, "right")]
+    sp.assert_one_row_each(ids(1, 2), ids(2, 1), "cell_id")
+    with pytest.raises(sp.LeakageError, match="differ.*3, 'right'"):
+        sp.assert_one_row_each(ids(1, 2, 2), ids(2, 1, 3), "cell_id")
+    with pytest.raises(sp.LeakageError, match="several rows.*2, 2"):
+        sp.assert_one_row_each(ids(1, 2, 2), ids(2, 1), "cell_id")
