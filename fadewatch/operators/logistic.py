@@ -58,20 +58,29 @@ def _sums(rows: DataFrame, n_features: int, problems: list[Problem], prepared: d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((count, 1 + q + q * q))
         for batch in batches:
-            group, fold = (np.asarray(batch.column(k).to_pylist(), dtype=object) for k in range(2))
+            codes, names = [], []
+            for k in range(2):  # strings are compared once per distinct value, rows by their codes
+                d = batch.column(k).dictionary_encode()
+                codes.append(d.indices.to_numpy(zero_copy_only=False))
+                names.append(d.dictionary.to_pylist())
             y = batch.column(2).to_numpy(zero_copy_only=False)
             x = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(n_features)], axis=1)
             for split, members in jobs.items():
                 g, left_out = where[split]
-                mine = group == g if left_out is None else (group == g) & (fold != left_out)
+                of_group, of_fold = np.array([v == g for v in names[0]], dtype=bool), np.array([v != left_out for v in names[1]], dtype=bool)
+                mine = of_group[codes[0]] if left_out is None else of_group[codes[0]] & of_fold[codes[1]]
                 z, t = _standardised(x[mine], *scale[split]), y[mine]
+                if not len(t):
+                    continue
                 w = np.where(t == 1, weights[split][1], weights[split][0])
-                for k, coef in members:
-                    m = z @ coef
-                    mu = 1.0 / (1.0 + np.exp(-np.clip(m, -700, 700)))
-                    total[k, 0] += (w * (np.logaddexp(0.0, m) - t * m)).sum()
-                    total[k, 1 : 1 + q] += z.T @ (w * (mu - t))
-                    total[k, 1 + q :] += ((z * (w * mu * (1.0 - mu))[:, None]).T @ z).ravel()
+                at = [k for k, _ in members]
+                # all penalties of the split at once: rows x problems
+                m = z @ np.stack([coef for _, coef in members], axis=1)
+                e = np.exp(-np.abs(m))
+                mu = np.where(m >= 0, 1.0, e) / (1.0 + e)
+                total[at, 0] += w @ (np.maximum(m, 0.0) + np.log1p(e) - t[:, None] * m)
+                total[at, 1 : 1 + q] += ((mu - t[:, None]) * w[:, None]).T @ z
+                total[at, 1 + q :] += (mu * (1.0 - mu) * w[:, None]).T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), q * q)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
 
     out = np.zeros(count * (1 + q + q * q))
