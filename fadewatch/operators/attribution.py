@@ -83,6 +83,21 @@ def group_attribution(phi: DataFrame, groups: DataFrame, by: Sequence[str]) -> D
     return with_group(phi, groups).groupBy(*by, "grp").agg(F.sum("phi").alias("phi"))
 
 
+def group_attribution_wide(items: DataFrame, phi: dict[tuple[str, str], str], members: dict[str, Sequence[str]], by: Sequence[str], run: str = "model") -> DataFrame:
+    """The same from one row per entity: ``phi`` names the column of each (run, feature), ``members`` the features of each group.
+
+    An entity is shuffled once with its sums of all runs and groups, not once per run and group. Missing values are left out.
+    """
+    runs = list(dict.fromkeys(r for r, _ in phi))
+    cells = [(r, g, [F.col(phi[r, f]) for f in fs if (r, f) in phi]) for r in runs for g, fs in members.items()]
+    cells = [(r, g, cols) for r, g, cols in cells if cols]
+    zero = F.lit(0.0)
+    row_sum = lambda cols: F.when(F.coalesce(*cols).isNotNull(), sum((F.coalesce(c, zero) for c in cols), zero))
+    sums = items.groupBy(*by).agg(*[F.sum(row_sum(cols)).alias(f"__{k}") for k, (_, _, cols) in enumerate(cells)])
+    parts = [F.struct(F.lit(r).alias(run), F.lit(g).alias("grp"), F.col(f"__{k}").alias("phi")) for k, (r, g, _) in enumerate(cells)]
+    return sums.select(*by, F.inline(F.array(*parts)))
+
+
 def global_importance(phi: DataFrame, run: Sequence[str], item: str = "feature") -> DataFrame:
     """Mean |phi| per item of a run and its share of the run total."""
     imp = phi.groupBy(*run, item).agg(F.avg(F.abs("phi")).alias("importance"))
