@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite, hash_uniform, sign_class
 from ..session import materialize
 from .linear import SPLIT, contributions
-from .order_stats import spearman, with_average_rank
+from .order_stats import rank_correlation, with_average_rank
 
 
 def linear_attribution(rows: DataFrame, models: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -172,11 +172,8 @@ def verdict(learned: Column, expected: Column, weak: str = "weak/non-monotone")
 
 def sign_consistency(phi: DataFrame, groups: DataFrame, run: Sequence[str]) -> DataFrame:
     """Direction learned for each feature (rank correlation of value and phi) against the expected one."""
-    ok = phi.filter(F.col("value").isNotNull() & F.col("phi").isNotNull())
-    rho = spearman(ok, [*run, "feature"], "value", "phi", "rho")
-    spread = ok.groupBy(*run, "feature").agg(F.stddev_pop("value").alias("__sd"))
-    out = rho.join(spread, [*run, "feature"]).withColumn(
-        "spearman", F.when((F.col("n_pairs") > 3) & (F.col("__sd") > 0), finite("rho"))
+    out = rank_correlation(phi, [*run, "feature"], "value", "phi").withColumn(
+        "spearman", F.when((F.col("n_pairs") > 3) & (F.col("min_x") < F.col("max_x")), finite("rho"))
     )
     out = out.join(F.broadcast(groups.select("feature", "expected_sign")), "feature", "left")
     learned, expected = sign_class("spearman"), F.coalesce("expected_sign", F.lit("?"))

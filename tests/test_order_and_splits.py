@@ -178,3 +178,28 @@ def test_id_checks_join_nothing_and_name_what_is_wrong(spark):
         sp.assert_one_row_each(ids(1, 2, 2), ids(2, 1, 3), "cell_id")
     with pytest.raises(sp.LeakageError, match="several rows.*2, 2"):
         sp.assert_one_row_each(ids(1, 2, 2), ids(2, 1), "cell_id")
+
+
+def test_rank_correlation_with_heavy_ties_and_few_shuffles(spark):
+    """A value of many different pairs, values of few pairs, groups of one pair: as SciPy's ranks; no row meets its rank by a join."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g, (x, y) in {
+        "heavy": (np.where(rng.random(3000) < 0.5, 1.5, rng.normal(size=3000)), rng.normal(size=3000)),
+        "few": (rng.integers(0, 4, 2000).astype(float), rng.integers(0, 3, 2000).astype(float)),
+        "line": (np.arange(700.0), -np.arange(700.0)), "one": (np.array([1.0]), np.array([2.0])),
+    }.items():
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y, strict=True)]
+        rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+        want[g] = np.corrcoef(rank(x), rank(y))[0, 1] if len(x) > 1 else None
+    rows += [("heavy", None, 1.0), (None, 1.0, 1.0), (None, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    for ranges in (8, 256):
+        out = os_.rank_correlation(df, ["g"], "x", "y", ranges)
+        got = {r.g: r for r in out.collect()}
+        assert got[None].rho == pytest.approx(1.0) and got[None].n_pairs == 2
+        for g, v in want.items():
+            assert got[g].rho == (pytest.approx(v, abs=1e-12) if v is not None else None)
+            assert got[g].n_pairs == sum(r[0] == g and r[1] is not None for r in rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") - plan.count("strategy=broadcast") == 0  # only tables of groups and ranges are joined
