@@ -257,6 +257,8 @@ def importance_by_life_group(
 
     ``preds`` has one row and ``phi`` one row per feature for each run and entity; groups are cut at the tertiles of the
     training labels, which the columns edge_low and edge_high hold. Entities without phi count in the errors alone.
+    ``phi`` may also have one row for each run and entity with an array ``features`` of structs (feature, phi): features are
+    then spread after the join.
     """
     from .metrics import life_group, tertile_edges
 
@@ -265,6 +267,8 @@ def importance_by_life_group(
     e = F.col(p) - F.col(y)
     errors = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"), F.avg(e).alias("Bias"))
     grouped = phi.join(rows.select(*run, key, "life_group"), [*run, key])
+    if "features" in phi.columns:
+        grouped = grouped.select(*run, "life_group", F.inline("features"))
     top = top_k_text(global_importance(grouped, [*run, "life_group"]), [*run, "life_group"], k)
     return errors.join(top, [*run, "life_group"], "left")
 

@@ -8,7 +8,7 @@ from ..functions.numeric import finite
 from ..operators import attribution as at
 from ..session import work_folder
 from ..sources import tables as src
-from .bindings import MATRIX_SQL, PHI_SQL, PREDS_SQL, SERIES_SQL, features_matrix, phi_rows, preds, query, series, table
+from .bindings import MATRIX_SQL, PHI_COLUMNS, PHI_SQL, PREDS_SQL, SERIES_SQL, features_matrix, phi_items, preds, query, series, table
 
 # ------------------------------------------------------------- telemetry and signals
 
@@ -100,6 +100,11 @@ def small_selection(spark, sf):
   FROM g LEFT JOIN t USING (model, life_group) GROUP BY ALL""", "edge_low edge_high RMSE MAE Bias")
 def life_group_importance(spark, sf):
     p = preds(spark, sf).filter("seed = 0 AND model <> 'c'").withColumn("model", F.when(F.col("model") == "a", "m1").otherwise("m2"))
-    phi = phi_rows(spark, sf).groupBy("model", F.col("l_orderkey").alias("cell_id"), "feature").agg(F.sum("phi").alias("phi"))
+    sums = phi_items(spark, sf).groupBy(F.col("l_orderkey").alias("cell_id")).agg(*[F.sum(c).alias(c) for c in PHI_COLUMNS.values()])
+    runs = [
+        F.struct(F.lit(m).alias("model"), F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("phi")) for (n, f), c in PHI_COLUMNS.items() if n == m]).alias("features"))
+        for m in dict.fromkeys(m for m, _ in PHI_COLUMNS)
+    ]
+    phi = sums.select("cell_id", F.inline(F.array(*runs)))
     p = p.select("model", "cell_id", "y_true", "y_pred")
     return at.importance_by_life_group(p, phi, p.filter("model = 'm1' AND cell_id % 3 = 0"), "cell_id", ["model"], k=3)
