@@ -121,6 +121,30 @@ def driver_texts(group_phi: DataFrame, feature_phi: DataFrame, key: str, protoco
     return down.join(proto, key, "left").join(feats, key, "left")
 
 
+def driver_texts_wide(entities: DataFrame, phi: dict[str, str], members: dict[str, Sequence[str]], key: str, protocol_groups: Sequence[str]) -> DataFrame:
+    """The texts of ``driver_texts`` from one row per entity, without a shuffle.
+
+    ``phi`` names the column of each feature, ``members`` the features of each group. Missing values are left out.
+    """
+    zero = F.lit(0.0)
+    total = lambda cols: F.when(F.coalesce(*cols).isNotNull(), sum((F.coalesce(c, zero) for c in cols), zero))
+    present = lambda structs: F.filter(F.array(*structs), lambda s: s["phi"].isNotNull())
+    columns = {g: [F.col(phi[f]) for f in fs if f in phi] for g, fs in members.items()}
+    columns = {g: cols for g, cols in columns.items() if cols}
+    degradation = [g for g in columns if g not in protocol_groups]
+    text = lambda v: format_signed_percent(percent_effect(v))
+    groups = present([F.struct(total(columns[g]).alias("phi"), F.lit(g).alias("grp"), text(total(columns[g])).alias("t")) for g in degradation])
+    features = present([F.struct(F.col(phi[f]).alias("phi"), F.lit(f).alias("feature"), F.lit(g).alias("grp")) for g in degradation for f in members[g] if f in phi])
+    protocol = [c for g in columns if g in protocol_groups for c in columns[g]]
+    rows = entities.select(key, F.sort_array(groups).alias("__g"), F.sort_array(features).alias("__f"), *[
+        (text(total(protocol)) if protocol else F.lit(None).cast("string")).alias("protocol_proxy_effect")
+    ]).filter(F.size("__g") > 0).withColumn("top_group", F.col("__g")[0]["grp"])
+    down = F.transform(F.filter(F.slice("__g", 1, 3), lambda s: s["phi"] < 0), lambda s: F.concat(s["grp"], F.lit(" "), s["t"]))
+    top = F.transform(F.slice(F.filter("__f", lambda s: s["grp"] == F.col("top_group")), 1, 3), lambda s: s["feature"])
+    return rows.select(key, F.array_join(down, "; ").alias("life_pulled_down_by"), "top_group", "protocol_proxy_effect",
+                       F.array_join(top, ", ").alias("key_features_in_top_group"))
+
+
 def maintenance_report(flags: DataFrame, life: DataFrame, drivers: DataFrame, key: str = "cell_id") -> DataFrame:
     """One row per entity, alarms first, then the shortest consensus life.
 
