@@ -10,9 +10,10 @@ where alone they can matter. So every link shares a key, and sets that only shar
 
 Groups that share sets are merged (by their ids alone) as long as the merged group fits one block, so a set is sent to one
 task only. What does not fit stays in its groups, where those of the same members count once. Groups too large for a
-block are cut into blocks that all hold the group's hub (its first set). Each block is joined by a prefix tree and reports
-links that connect it, not all pairs. Groups cut into blocks whose sets are still in several components are joined block
-against block. So no link between components is lost, and copies never expand into all pairs.
+block are cut into blocks that all hold the group's hub (its first set). Each block is joined by a prefix tree, which
+its sets walk together, and reports links that connect it, not all pairs. Groups cut into blocks whose sets are still in
+several components are joined block against block. So no link between components is lost, and copies never expand into
+all pairs.
 """
 from __future__ import annotations
 
@@ -178,28 +179,45 @@ def prefix_tree(sets: list[np.ndarray]) -> Node:
     return root
 
 
-def similar_to(x: np.ndarray, root: Node, percent: int) -> list[int]:
-    """Sets of the tree with Jaccard similarity of ``percent`` or more to ``x``.
+#: Cells (n-gram, set) of the table in which sets are probed together; n-grams between two counts of what a set has left.
+PROBED, STRIDE = 1 << 25, 64
+
 
-    The overlap of a path is counted once for all sets below it. A subtree is pruned if no size it holds can still reach
-    the overlap it needs from what is left of ``x`` and of its sets.
+def similar_pairs(xs: list[np.ndarray], root: Node, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(set of the tree, those of ``xs`` with Jaccard similarity of ``percent`` or more to it), by one walk for all ``xs``.
+
+    The overlap of a path is counted once for all sets below it, for all ``xs`` at once. A set leaves a subtree if no size
+    that the subtree holds can still reach the overlap it needs from what is left of the set and of the tree's sets.
     """
-    found, todo = [], [(root, 0)]
+    size = np.array([len(x) for x in xs])
+    ngrams, of = np.unique(np.concatenate(xs), return_inverse=True)
+    holds = np.zeros((len(ngrams), len(xs)), bool)
+    holds[of, np.repeat(np.arange(len(xs)), size)] = True
+    before = np.zeros((-(-len(ngrams) // STRIDE) + 1, len(xs)), np.int64)
+    np.cumsum(np.add.reduceat(holds, np.arange(0, len(ngrams), STRIDE), axis=0, dtype=np.int64), axis=0, out=before[1:])
+    todo = [(root, np.arange(len(xs)), np.zeros(len(xs), np.int64))]
     while todo:
-        node, overlap = todo.pop()
-        left = len(x)
+        node, x, overlap = todo.pop()
+        left = size[x]
         if len(node.ngrams):
-            at = np.searchsorted(x, node.ngrams)
-            overlap += int((x[np.minimum(at, len(x) - 1)] == node.ngrams).sum())
-            left = len(x) - int(np.searchsorted(x, node.ngrams[-1], side="right"))
-        best = min(max(node.depth + left, node.least), node.most)  # the size that comes nearest
-        if (100 + percent) * (overlap + min(best - node.depth, left)) < percent * (len(x) + best):
+            at = np.searchsorted(ngrams, node.ngrams)
+            at = at[ngrams[np.minimum(at, len(ngrams) - 1)] == node.ngrams]
+            overlap = overlap + (holds[at] if len(x) == len(xs) else holds[np.ix_(at, x)]).sum(axis=0, dtype=np.int32)
+            left = left - before[np.searchsorted(ngrams, node.ngrams[-1], side="right") // STRIDE, x]
+        best = np.minimum(np.maximum(node.depth + left, node.least), node.most)  # the size that comes nearest
+        stay = (100 + percent) * (overlap + np.minimum(best - node.depth, left)) >= percent * (size[x] + best)
+        x, overlap = x[stay], overlap[stay]
+        if len(x) == 0:
             continue
-        for k in node.ends:
-            if (100 + percent) * overlap >= percent * (len(x) + node.depth):
-                found.append(k)
-        todo.extend((child, overlap) for child in node.children)
-    return found
+        if node.ends:
+            similar = x[(100 + percent) * overlap >= percent * (size[x] + node.depth)]
+            yield from ((k, similar) for k in node.ends)
+        todo.extend((child, x, overlap) for child in node.children)
+
+
+def similar_to(x: np.ndarray, root: Node, percent: int) -> list[int]:
+    """Sets of the tree with Jaccard similarity of ``percent`` or more to ``x``."""
+    return [k for k, found in similar_pairs([x], root, percent) if len(found)]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -235,7 +253,7 @@ def related(sets: list[np.ndarray], percent: int) -> list[list[int]]:
     return [members for members in out.values() if len(members) > 1]
 
 
-#: Sets that are probed before the component that needs no further probes is chosen.
+#: Sets that are probed before the component whose members need no further probes is chosen.
 FIRST_PROBES = 16
 
 
@@ -250,30 +268,24 @@ def _links_in_tree(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     """Links that connect what all links connect.
 
     A link between two components has an end outside any given component. So once the largest component after a few
-    probes is chosen, its members need no probe of their own, and a group of copies takes one probe.
+    probes is chosen, its members need no probe of their own, and a group of copies takes few probes.
     """
-    parent, size = list(range(len(sets))), [1] * len(sets)
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    root, links, chosen = prefix_tree(sets), [], None
-    for x in range(len(sets)):
-        if chosen is None and (x == FIRST_PROBES or max(size) * 2 > len(sets)):
-            chosen = size.index(max(size))
-        if chosen is not None and top(x) == top(chosen):
-            continue
-        for y in similar_to(sets[x], root, percent):
-            a, b = top(x), top(y)
-            if a != b:
-                a, b = (a, b) if size[a] >= size[b] else (b, a)
-                parent[b] = a
-                size[a] += size[b]
-                size[b] = 0
-                links.append((x, y))
+    label, root, links = np.arange(len(sets)), prefix_tree(sets), []
+
+    def probe(xs: np.ndarray) -> None:
+        while len(xs):
+            cells = np.cumsum([len(sets[x]) for x in xs]) * np.arange(1, len(xs) + 1)
+            now, xs = np.split(xs, [max(1, int(np.searchsorted(cells, PROBED, side="right")))])
+            for y, found in similar_pairs([sets[x] for x in now], root, percent):
+                found = now[found]
+                found = found[label[found] != label[y]]
+                for x in found[np.unique(label[found], return_index=True)[1]] if len(found) else ():
+                    label[label == label[x]] = label[y]
+                    links.append((int(x), y))
+
+    probe(np.arange(min(FIRST_PROBES, len(sets))))
+    rest = np.arange(FIRST_PROBES, len(sets))
+    probe(rest[label[rest] != np.bincount(label).argmax()])
     return links
 
 
@@ -356,8 +368,8 @@ def candidate_groups(sets: DataFrame, block_ngrams: int) -> DataFrame:
     return whole.unionByName(groups.join(rest, "set_id", "left_semi"))
 
 
-def links_between_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
-    """Links (a, b) of set_ids that connect all similar sets. ``sets``: set_id, doc_id, text_key1/2 (of one of its documents), n."""
+def linked_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+    """(node, component) of the set_ids that have a similar set. ``sets``: set_id, doc_id, text_key1/2 (of one of its documents), n."""
     wanted = groups.select("set_id").distinct().join(sets.select("set_id", "doc_id", "text_key1", "text_key2"), "set_id").alias("w")
     keyed = docs.select("doc_id", "text", *text_key()).alias("d")
     same = (F.col("d.text_key1") == F.col("w.text_key1")) & (F.col("d.text_key2") == F.col("w.text_key2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -368,23 +380,22 @@ def links_between_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, size
     placed = groups.join(blocks, "group").withColumn("block", F.when(F.col("blocks") == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("set_id"), F.col("blocks"))))
     hubs = placed.filter("blocks > 1").select("group", F.col("hub").alias("set_id"), "hub", "blocks", "block").distinct()
     placed = staged(placed.unionByName(hubs).distinct())
-    first = staged(_links_of_groups(placed.join(ngrams, "set_id"), ["group", "block"], percent).distinct())
-    several = placed.filter("blocks > 1")
-    if several.isEmpty():
-        return first
-    return first.union(_links_across_blocks(several, first, ngrams, percent))
-
-
-def _links_across_blocks(placed: DataFrame, first: DataFrame, ngrams: DataFrame, percent: int) -> DataFrame:
-    """Join the pairs of blocks of a group that are not in one component yet."""
-    known = staged(components(first))
-    rows = placed.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    rows = staged(rows.select("group", "block", "set_id", "component"))
+    known = staged(components(_links_of_groups(placed.join(ngrams, "set_id"), ["group", "block"], percent)))
+    rows = placed.filter("blocks > 1").join(known.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = staged(rows.select("group", "block", "set_id", F.coalesce("component", "set_id").alias("component")))
+    pairs = staged(_open_pairs(rows))
+    if pairs.isEmpty():
+        return known
+    sides = pairs.select("*", F.col("block_a").alias("block")).union(pairs.select("*", "block_b"))
+    more = _links_of_groups(sides.join(rows, ["group", "block"]).join(ngrams, "set_id"), ["group", "block_a", "block_b"], percent)
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """(group, block_a, block_b): the pairs of blocks of a group that are not in one component yet."""
     ends = rows.groupBy("group", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     a, b = ends.select("group", F.col("block").alias("block_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a")), ends.select("group", F.col("block").alias("block_b"), "low", "high")
-    open_pairs = a.join(b, "group").filter("block_a < block_b AND NOT (low_a = high_a AND low = high AND low = low_a)").select("group", "block_a", "block_b")
-    sides = open_pairs.select("*", F.col("block_a").alias("block")).union(open_pairs.select("*", "block_b"))
-    return _links_of_groups(sides.join(rows, ["group", "block"]).join(ngrams, "set_id"), ["group", "block_a", "block_b"], percent).distinct()
+    return a.join(b, "group").filter("block_a < block_b AND NOT (low_a = high_a AND low = high AND low = low_a)").select("group", "block_a", "block_b")
 
 
 def similarity_components(docs: DataFrame, size: int, percent: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
@@ -417,7 +428,7 @@ def _components_of_sets(docs: DataFrame, size: int, percent: int, block_ngrams:
     with scratch(docs.sparkSession):
         sets, groups = _sets_and_groups(docs, size, percent, block_ngrams)
     with scratch(docs.sparkSession):
-        known = staged(components(links_between_sets(docs, sets, groups, size, percent, block_ngrams)), keep=True)
+        known = staged(linked_sets(docs, sets, groups, size, percent, block_ngrams), keep=True)
     named = sets.join(known.withColumnRenamed("node", "set_id"), "set_id")
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(ids, "component").select("set1", "set2", "component_id")

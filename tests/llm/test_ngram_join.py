@@ -115,3 +115,33 @@ def test_components_of_chain_and_star(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (139, 138)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+def test_sets_of_a_block_walk_the_tree_together(monkeypatch):
+    rng = np.random.default_rng(13)
+    text = rng.integers(0, 1 << 63, 330, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(text)[: rng.integers(285, 325)], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(200)]
+    walks = []
+    monkeypatch.setattr(nj, "similar_pairs", lambda xs, root, percent, f=nj.similar_pairs: walks.append(len(xs)) or f(xs, root, percent))
+    links = nj.connecting_links(sets, 90)
+    assert len(walks) <= 2  # one walk for each set before
+    top = list(range(200))
+    for a, b in links:
+        top = [top[a] if t == top[b] else t for t in top]
+    similar = [(i, j) for i in range(200) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    assert similar and len(set(top)) > 1 and all(top[i] == top[j] for i, j in similar) and all((max(x), min(x)) in similar for x in links)
+
+
+def test_stars_take_no_round_and_forests_may_be_small(spark, monkeypatch):
+    from fadewatch.llm import components as cp
+
+    tables = []
+    monkeypatch.setattr(cp, "staged", lambda df, f=cp.staged: tables.append(1) or f(df))
+    out = {r.node: r.component for r in cp.components(spark.createDataFrame([(k, k % 7) for k in range(7, 100)], "a long, b long")).collect()}
+    assert out == {k: k % 7 for k in range(100)} and len(tables) == 1
+    monkeypatch.setattr(cp, "FOREST", 3)
+    rng = random.Random(2)
+    links = [(k, k + 7) for k in range(100)] + [(200, k) for k in range(201, 230)]
+    rng.shuffle(links)
+    out = {r.node: r.component for r in cp.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert out == {k: k % 7 for k in range(107)} | {k: 200 for k in range(200, 230)}
