@@ -27,8 +27,8 @@ from .order_stats import _join, average_precision, quantiles, roc_auc
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of sums that a task keeps before it passes them on; entities whose multiplicities are drawn together; rows of a
-#: chunk of the score order; resamples that a chunk handles together.
-SUMS_BYTES, DRAWN, CHUNK, TOGETHER = 64 << 20, 256, 4096, 256
+#: chunk of the score order; resamples that a chunk handles together; draws made at once, which a core's cache holds.
+SUMS_BYTES, DRAWN, CHUNK, TOGETHER, CACHED = 64 << 20, 256, 4096, 256, 1 << 15
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -43,6 +43,17 @@ def poisson_thresholds() -> list[int]:
 
 
 _THRESHOLDS = poisson_thresholds()
+_REACHED = np.array(_THRESHOLDS, np.uint64)
+
+
+def _by_first_bits() -> np.ndarray:
+    """Multiplicity of a draw by its first 16 bits; 255 where a threshold lies among the draws that begin so."""
+    first = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+    low, high = (np.searchsorted(_REACHED, x, side="right") for x in (first, first + np.uint64((1 << 37) - 1)))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
+_BY_FIRST_BITS = _by_first_bits()
 
 
 def entity_bits(seed: int, key: Column | str) -> Column:
@@ -53,17 +64,21 @@ def entity_bits(seed: int, key: Column | str) -> Column:
 
 def multiplicities(bits: np.ndarray, first: int, until: int) -> np.ndarray:
     """Multiplicities (entities, resamples ``first`` to ``until``): thresholds reached by splitmix64 of bits + (b + 1) * step."""
-    with np.errstate(over="ignore"):
-        z = bits.astype(np.uint64)[:, None] + (np.arange(first, until, dtype=np.uint64) + np.uint64(1))[None, :] * np.uint64(_STEP)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = (z ^ (z >> np.uint64(31))) >> np.uint64(11)
-    w = np.zeros(z.shape, np.float64)
-    for t in _THRESHOLDS:
-        reached = z >= np.uint64(t)
-        if not reached.any():
-            break
-        w += reached
+    steps = (np.arange(first, until, dtype=np.uint64) + np.uint64(1)) * np.uint64(_STEP)
+    bits, w = bits.astype(np.uint64), np.empty((len(bits), until - first))
+    rows = max(1, CACHED // max(1, until - first))
+    for at in range(0, len(bits), rows):
+        z = bits[at : at + rows, None] + steps
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        drawn = _BY_FIRST_BITS.take((z >> np.uint64(48)).view(np.int64), mode="clip")
+        if drawn.max(initial=0) == 255:
+            near = drawn == 255
+            drawn[near] = np.searchsorted(_REACHED, z[near] >> np.uint64(11), side="right")
+        w[at : at + rows] = drawn
     return w
 
 
@@ -122,17 +137,15 @@ def weighted_sums(rows: DataFrame, by: Sequence[str], key: str, values: Mapping[
             order = np.lexsort((group, of // DRAWN))
             v = np.stack([np.ones(len(order)), *(batch.column(n_by + 1 + k).to_numpy() for k in range(len(names)))])[:, order]
             group, of = group[order], of[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(group) != 0) | (np.diff(of // DRAWN) != 0), [True]])) if len(order) else [0]
-            block, w = -1, None
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if of[lo] // DRAWN != block:
-                    block = of[lo] // DRAWN
-                    w = multiplicities(bits[block * DRAWN : (block + 1) * DRAWN], 0, n_boot)
-                k = keys[group[lo]]
-                if k not in sums:
-                    sums[k], count[k] = np.zeros((len(arrays), n_boot)), 0
-                sums[k] += v[:, lo:hi] @ w[of[lo:hi] - block * DRAWN]
-                count[k] += int(hi - lo)
+            ends = np.searchsorted(of // DRAWN, np.arange(-(-len(bits) // DRAWN) + 1))
+            for block, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                w = multiplicities(bits[block * DRAWN : (block + 1) * DRAWN], 0, n_boot)
+                for k, n, added in _block_sums(v[:, lo:hi], group[lo:hi], of[lo:hi] - block * DRAWN, w):
+                    k = keys[k]
+                    if k not in sums:
+                        sums[k], count[k] = np.zeros((len(arrays), n_boot)), 0
+                    sums[k] += added
+                    count[k] += n
             if len(sums) * len(arrays) * n_boot * 8 > SUMS_BYTES:
                 yield out()
                 sums, count = {}, {}
@@ -144,6 +157,19 @@ def weighted_sums(rows: DataFrame, by: Sequence[str], key: str, values: Mapping[
     return each.groupBy(*by, "b").agg(F.sum("n").alias("n"), *[F.sum(f"s.{a}").alias(c) for a, c in zip(arrays, ["w", *names], strict=True)])
 
 
+def _block_sums(v: np.ndarray, group: np.ndarray, of: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, rows, sums) of the rows of a block in order of group; ``v``: values (arrays, rows), ``w``: (entities, resamples)."""
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0, [True]]))
+    n = np.diff(cuts)
+    if len(group) * 4 >= len(n) * len(w):  # most groups hold most entities: one product for all, multiplicities are not copied for each
+        at = np.repeat(np.arange(len(n)), n) * len(w) + of
+        cells = np.stack([np.bincount(at, x, len(n) * len(w)) for x in v]).reshape(len(v) * len(n), len(w))
+        added = (cells @ w).reshape(len(v), len(n), -1).swapaxes(0, 1)
+    else:
+        added = (v[:, lo:hi] @ w[of[lo:hi]] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
+    yield from zip(group[cuts[:-1]], n.tolist(), added, strict=True)
+
+
 # ------------------------------------------------------------- weighted rank statistics
 
 

@@ -104,3 +104,35 @@ def test_resamples_of_one_class_are_left_out_and_counted(spark):
     diff = {r.difference: r for r in rs.paired_difference_table(full, each, ["T"]).collect()}
     assert set(diff) == {"dMAE", "dRMSE", "dPR_AUC", "dROC_AUC"} and diff["dMAE"].n_skipped == len(lost)
     assert diff["dMAE"].estimate == pytest.approx(err.mean() - np.mean([abs(20.0 - k) for k in range(6)]))
+
+
+def test_draws_are_made_in_pieces_and_equal_the_thresholds_reached():
+    import tracemalloc
+
+    bits = np.random.default_rng(4).integers(0, 1 << 60, 256)
+    tracemalloc.start()
+    w = rs.multiplicities(bits, 3, 2003)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * w.nbytes  # three tables of that size before
+    mask = (1 << 64) - 1
+    for k in range(0, 256, 51):
+        for b in range(3, 2003, 7):
+            z = (int(bits[k]) + (b + 1) * 0x9E3779B97F4A7C15) & mask
+            z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ (z >> 27)) * 0x94D049BB133111EB & mask
+            z = (z ^ (z >> 31)) >> 11
+            assert w[k, b - 3] == sum(z >= t for t in rs.poisson_thresholds())
+    near = rs._BY_FIRST_BITS == 255
+    assert 0 < near.sum() <= len(rs.poisson_thresholds()) and (np.diff(rs._BY_FIRST_BITS[~near].astype(int)) >= 0).all()
+
+
+def test_block_sums_of_full_and_of_thin_groups_agree():
+    rng = np.random.default_rng(8)
+    w = rng.poisson(1.0, (50, 9)).astype(float)
+    for n, groups in ((400, 3), (60, 40), (0, 3)):
+        group, of, v = np.sort(rng.integers(0, groups, n)), rng.integers(0, 50, n), rng.random((2, n))
+        got = {k: (m, x) for k, m, x in rs._block_sums(v, group, of, w)} if n else {}
+        assert sorted(got) == sorted(set(group.tolist()))
+        for k, (m, x) in got.items():
+            assert m == (group == k).sum() and np.allclose(x, v[:, group == k] @ w[of[group == k]])
