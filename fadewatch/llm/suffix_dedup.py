@@ -253,7 +253,7 @@ def groups_of_owners(rows: DataFrame, group: int) -> tuple[list[DataFrame], list
         if most > 1:
             meet.append(rows.join(sizes.filter(F.col("n") <= most).select("key"), "key").select("key", "doc_id", "text_key", "start", "many", "bytes"))
         large = sizes.filter(F.col("n") > most).select("key")
-        if most > 1 and large.isEmpty():
+        if level > HALVINGS and large.isEmpty():
             return meet, repeats
         split = staged(halves(rows.join(large, "key")))
         rows = staged(owners(split, ["key"]))
